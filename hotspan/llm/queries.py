@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, langid, linededup, packing, quality, simhash, toxicity, url_filter
+from . import ann, decontaminate, langid, linededup, packing, quality, simhash, suffixes, toxicity, url_filter
 from .common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -23,6 +23,11 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("page_id", "host", "path", "rule", "strict_hits", "soft_hits", "verdict")
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.classify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
@@ -54,7 +59,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_url_filter, op4_language, op5_decontaminate, op6_toxicity, op7_nearest, op8_pack, op9_line_dedup, op10_simhash)}
+    return {f.__name__: f for f in (op1_quality, op2_url_filter, op3_repeats, op4_language, op5_decontaminate, op6_toxicity, op7_nearest, op8_pack, op9_line_dedup, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
