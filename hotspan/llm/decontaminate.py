@@ -188,6 +188,13 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> Dat
     return per_doc.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def clean(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
+    """The rows of `docs` in which no window of any item occurs; `docs` must be a stored table, as its rows are numbered."""
+    numbered = docs.withColumn("__rid", F.monotonically_increasing_id())
+    hit = contamination(numbered.select(F.col("__rid").alias("doc_id"), "text"), items, width).where("contaminated")
+    return numbered.join(hit.select(F.col("doc_id").alias("__rid")), "__rid", "left_anti").drop("__rid")
+
+
 def matches(index: DataFrame, windows: list[tuple[str, ...]], owners: list[list[str]], rare: dict[str, int], kind: str) -> DataFrame:
     """Per document of the index: (segment, place) that name it, doc_id, n_words, the word numbers hit, the items found."""
 

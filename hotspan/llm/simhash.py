@@ -78,6 +78,17 @@ def near(found: DataFrame, distance: int = 3, segments: int = 2) -> DataFrame:
     return probes.alias("p").join(table.alias("t"), on).select("a", "b")
 
 
+def groups(docs: DataFrame, width: int, distance: int) -> DataFrame:
+    """`docs` (doc_id, text and others) without its texts, with `__fp` and the component_id of its group, see below."""
+    found = checkpoint(fingerprints(docs, width))
+    classes = checkpoint(found.groupBy(F.col("__fp").alias("fp")).agg(F.min("doc_id").alias("least")))
+    linked = components(near(classes.select("fp"), distance))
+    of = classes.join(linked, classes.fp == linked.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    least = of.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = of.join(least, "component").select("fp", "component", "component_id")
+    return found.join(named, found["__fp"] == named.fp).drop("fp")
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3, doc_id: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -86,10 +97,17 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3, doc_id:
     blank texts have fingerprint zero and are linked like any other. Null ids are kept and never the smallest (a
     component of null ids only has a null component_id); repeated rows give repeated rows; no rows give none.
     """
-    found = checkpoint(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col("text")), width))
-    classes = checkpoint(found.groupBy(F.col("__fp").alias("fp")).agg(F.min("doc_id").alias("least")))
-    groups = components(near(classes.select("fp"), distance))
-    of = classes.join(groups, classes.fp == groups.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    least = of.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = of.select("fp", "component").join(least, "component").select("fp", "component_id")
-    return found.join(named, found["__fp"] == named.fp).select("doc_id", F.lpad(F.lower(F.hex("__fp")), 16, "0").alias("fingerprint"), "component_id")
+    made = groups(docs.select(F.col(doc_id).alias("doc_id"), F.col("text")), width, distance)
+    return made.select("doc_id", F.lpad(F.lower(F.hex("__fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, width: int = 3, distance: int = 3) -> DataFrame:
+    """The rows of `docs` that stay when of each group of near duplicates the one with the smallest id stays.
+
+    Null ids stay only where a group has no other; of rows with the same id the first stays. `docs` must be a stored
+    table, as its rows are numbered when they are read.
+    """
+    numbered = docs.withColumn("__rid", F.monotonically_increasing_id())
+    made = groups(numbered.select("doc_id", "__rid", "text"), width, distance)
+    first = made.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__rid")).alias("first"))
+    return numbered.join(first.select(F.col("first.__rid").alias("__rid")), "__rid", "left_semi").drop("__rid")
