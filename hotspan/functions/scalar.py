@@ -45,7 +45,7 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Great-circle distance in km."""
     half = lambda a, b: F.sin((F.radians(b) - F.radians(a)) / 2.0)
     h = half(lat1, lat2) * half(lat1, lat2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half(lon1, lon2) * half(lon1, lon2)
-    return F.asin(F.sqrt(F.greatest(F.lit(0.0), F.least(F.lit(1.0), h)))) * F.lit(2 * EARTH_KM)
+    return F.asin(F.sqrt(F.when(h > 1.0, 1.0).otherwise(h))) * F.lit(2 * EARTH_KM)  # least() would hide a NULL
 
 
 def bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

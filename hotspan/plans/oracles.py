@@ -20,8 +20,9 @@ def mean6(x: str) -> str:
 
 
 def hav(a: str, b: str, c: str, d: str) -> str:
-    s = lambda p, q: f"sin((radians({q}) - radians({p})) / 2.0::DOUBLE)"
-    return f"(asin(sqrt(greatest(0.0::DOUBLE, least(1.0::DOUBLE, {s(a, c)} * {s(a, c)} + cos(radians({a})) * cos(radians({c})) * {s(b, d)} * {s(b, d)})))) * {2 * 6371.0088}::DOUBLE)"
+    half = lambda p, q: f"sin((radians({q}) - radians({p})) / 2.0::DOUBLE)"
+    h = f"({half(a, c)} * {half(a, c)} + cos(radians({a})) * cos(radians({c})) * {half(b, d)} * {half(b, d)})"
+    return f"(asin(sqrt(CASE WHEN {h} > 1.0 THEN 1.0::DOUBLE ELSE {h} END)) * {2 * 6371.0088}::DOUBLE)"
 
 
 def brg(a: str, b: str, c: str, d: str) -> str:
