@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from .common import held_out
 
-#: Documents per language that the fit uses at most (the first by hash of the id): the documented bound.
-TRAIN_PER_LANGUAGE, BUCKETS, EPOCHS = 800, 4096, 12
+#: Documents per language that the fit uses at most: the documented bound. They are the first by hash of the id in each
+#: of so many shards of a language, so that no window holds a whole language.
+TRAIN_PER_LANGUAGE, SHARDS, BUCKETS, EPOCHS = 832, 64, 4096, 12
 #: Fixed: families of languages by code; a code that is not listed is a family of its own.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af"),
@@ -107,12 +108,9 @@ def fit(labelled: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> Model:
 
     from .common import checkpoint
 
-    ids = labelled.where("lang is not null and text is not null").select("key", "lang")
-    order = Window.partitionBy("lang").orderBy("h", "key")
-    # the first `per_language` by hash within each of 64 hash shards, so that no window sees a whole language
-    shard = ids.withColumn("h", F.xxhash64("key", F.lit(9))).withColumn("shard", F.pmod(F.xxhash64("key", F.lit(3)), F.lit(64)))
-    first = shard.withColumn("r", F.row_number().over(Window.partitionBy("lang", "shard").orderBy("h", "key"))).where(F.col("r") <= per_language)
-    chosen = first.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).select("key", "lang")
+    ids = labelled.where("lang is not null and text is not null").select("key", "lang").withColumn("shard", F.pmod(F.xxhash64("key", F.lit(3)), F.lit(SHARDS)))
+    order = Window.partitionBy("lang", "shard").orderBy(F.xxhash64("key", F.lit(9)), "key")
+    chosen = ids.withColumn("r", F.row_number().over(order)).where(F.col("r") <= -(-per_language // SHARDS)).select("key", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

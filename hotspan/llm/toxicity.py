@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import checkpoint, held_out
 
 #: The documented bounds of training: labelled texts (the first by hash of the id), candidate strings, landmarks, clean words.
-TRAIN_ROWS, CANDIDATES, LANDMARKS, CLEAN_WORDS = 24_000, 600, 96, 3_000
+TRAIN_ROWS, CANDIDATES, LANDMARKS, CLEAN_WORDS = 16_000, 600, 64, 3_000
 ORDER, DECAY, LONGEST = 3, 0.55, 24
 #: Fixed: digits and signs that stand for letters, bytes that are dropped, A-Z lower-cased.
 STAND_FOR = {ord("0"): "o", ord("1"): "i", ord("3"): "e", ord("4"): "a", ord("5"): "s", ord("7"): "t", ord("@"): "a", ord("$"): "s"}
@@ -37,85 +37,101 @@ def words(text: str | None) -> list[bytes]:
 
 
 def letters(strings: Iterable[bytes], longest: int = LONGEST) -> np.ndarray:
-    """Rows of letter numbers; longer words appear as overlapping windows elsewhere, see `windows`."""
+    """Rows of letter numbers, 0 beyond a string's end."""
     out = np.zeros((len(strings), longest), np.uint8)
     for i, s in enumerate(strings):
         out[i, : len(s)] = np.frombuffer(s[:longest], np.uint8)
     return out
 
 
-def windows(word: bytes) -> list[bytes]:
-    return [word] if len(word) <= LONGEST else [word[i : i + LONGEST] for i in range(0, len(word) - LONGEST // 2, LONGEST // 2)]
+def subsequences(x: np.ndarray, y: np.ndarray, order: int = ORDER, decay: float = DECAY) -> np.ndarray:
+    """Gap-weighted count of common subsequences of `order` letters of rows of x and rows of y (or its only row).
 
-
-def subsequences(x: np.ndarray, y: bytes, order: int = ORDER, decay: float = DECAY) -> np.ndarray:
-    """Gap-weighted count of common subsequences of `order` letters between each row of x and the string y.
-
-    x is 0 beyond a word's end. Gaps in either string cost a factor `decay` a letter.
+    Rows are 0 beyond a string's end. Gaps in either string cost a factor `decay` a letter.
     """
-    n, m = x.shape[1], len(y)
-    same = (x[:, :, None] == np.frombuffer(y, np.uint8)[None, None, :]).astype(np.float32)
-    ends = same * decay**2  # matches of length 1 that end at (i, j)
+    n, m = x.shape[1], y.shape[1]
+    ends = ((x[:, :, None] == y[:, None, :]) & (x[:, :, None] > 0)).astype(np.float32) * decay**2  # matches of one letter at (i, j)
+    same = ends.copy()
     for _ in range(order - 1):
-        # mass of shorter matches that end before (i, j), decayed by the distance
+        # the mass of shorter matches that end before (i, j), decayed by the distance
         before = np.zeros_like(ends)
-        run = np.zeros((len(x), m), np.float32)
+        run = np.zeros((len(ends), m), np.float32)
         for i in range(1, n):
             run = run * decay + ends[:, i - 1]
-            across = np.zeros(len(x), np.float32)
+            across = np.zeros(len(ends), np.float32)
             for j in range(1, m):
                 across = across * decay + run[:, j - 1]
                 before[:, i, j] = across
-        ends = same * before * decay**2
+        ends = same * before
     return ends.sum((1, 2))
 
 
-def kernel(x: np.ndarray, landmarks: list[bytes], own: np.ndarray) -> np.ndarray:
-    """How much of each landmark a word holds: the subsequence kernel over the landmark's own value (unnormalised in the word, so a stem counts inside a long word)."""
-    return np.column_stack([subsequences(x, v) for v in landmarks]) / own
+def kernel(some: list[bytes], landmarks: list[bytes]) -> np.ndarray:
+    """Normalised subsequence kernel of strings with landmarks: 1 for equal ones."""
+    x = letters(some)
+    width = max((len(w) for w in some), default=1)
+    x = np.ascontiguousarray(x[:, :width])
+    own = np.maximum(subsequences(x, x), 1e-9)
+    columns = []
+    for v in landmarks:
+        y = letters([v])[:, : len(v)]
+        columns.append(subsequences(x, y) / np.sqrt(own * subsequences(y, y)[0]))
+    return np.column_stack(columns)
 
 
 @dataclass
 class Model:
     landmarks: list[bytes]
-    own: np.ndarray
-    whiten: np.ndarray
-    weights: np.ndarray
-    masks: np.ndarray
+    whiten: np.ndarray | None = None
+    weights: np.ndarray | None = None
     floor: float = -3.0
     slope: float = 4.0
     offset: float = 0.0
 
-    def vectors(self, x: np.ndarray) -> np.ndarray:
-        return np.hstack([np.minimum(kernel(x, self.landmarks, self.own), 1.5) @ self.whiten, np.ones((len(x), 1))])
+    def vectors(self, some: list[bytes]) -> np.ndarray:
+        """Nystroem vectors, and a constant."""
+        parts = [kernel(some[i : i + 4096], self.landmarks) @ self.whiten for i in range(0, len(some), 4096)]
+        return np.hstack([np.vstack(parts), np.ones((len(some), 1))])
+
+    def passages(self, found: list[bytes]) -> dict[int, set[bytes]]:
+        """By number of a word: the parts of it in which some landmark's letters follow each other with small gaps."""
+        out: dict[int, set[bytes]] = {}
+        if not found or not self.landmarks:
+            return out
+        size = np.array([len(w) for w in found])
+        flat = np.frombuffer(b"".join(found), np.uint8)
+        has = np.bitwise_or.reduceat(np.uint64(1) << (flat & 63).astype(np.uint64), np.cumsum(size) - size)
+        for v in self.landmarks:
+            mask = np.bitwise_or.reduce(np.uint64(1) << (np.frombuffer(v, np.uint8) & 63).astype(np.uint64))
+            pattern = gapped(v)
+            for i in np.flatnonzero((np.bitwise_count(mask & ~has) <= (len(v) >= 6)) & (size >= ORDER)).tolist():
+                if v in found[i]:
+                    out.setdefault(i, set()).add(v)
+                elif m := pattern.search(found[i]):
+                    out.setdefault(i, set()).add(m[0][:LONGEST])
+        return out
 
     def margins(self, found: list[bytes]) -> np.ndarray:
-        """Decision value of each word; `floor` for those that lack two letters or more of every landmark."""
+        """Decision value of each word, that of its worst passage; `floor` for words without one."""
         out = np.full(len(found), self.floor)
-        if not self.landmarks or not found:
-            return out
-        for at in range(0, len(found), 20_000):
-            some = found[at : at + 20_000]
-            size = np.array([len(s) for s in some])
-            flat = np.frombuffer(b"".join(some), np.uint8)
-            has = np.bitwise_or.reduceat(np.uint64(1) << (flat & 63).astype(np.uint64), np.cumsum(size) - size)
-            maybe = np.zeros(len(some), bool)
-            for m in self.masks:
-                maybe |= np.bitwise_count(m & ~has) <= 1
-            maybe &= size >= ORDER
-            pick = np.flatnonzero(maybe)
-            if len(pick):
-                parts = [(i, w) for i in pick.tolist() for w in windows(some[i])]
-                for lo in range(0, len(parts), 4096):
-                    block = parts[lo : lo + 4096]
-                    value = self.vectors(letters([w for _, w in block])) @ self.weights
-                    np.maximum.at(out, np.array([at + i for i, _ in block]), value)
+        near = self.passages(found)
+        different = list(set().union(*near.values()))
+        if different:
+            value = dict(zip(different, np.maximum(self.vectors(different) @ self.weights, self.floor + 0.5).tolist(), strict=True))
+            for i, some in near.items():
+                out[i] = max(value[x] for x in some)
         return out
 
     def probability(self, margin: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -30, 30)))
 
 
+def gapped(v: bytes) -> re.Pattern[bytes]:
+    """The letters of a landmark in order with gaps of up to two; of six letters or more one inner one may be left out."""
+    ways = [v] + [v[:i] + v[i + 1 :] for i in range(1, len(v) - 1) if len(v) >= 6]
+    return re.compile(b"|".join(b".{0,2}?".join(re.escape(w[i : i + 1]) for i in range(len(w))) for w in ways), re.DOTALL)
+
+
 def machine(x: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int = 400, penalty: float = 2e-3) -> np.ndarray:
     """Linear machine with the squared hinge loss, classes weighted alike, by Newton-like steps on the active rows."""
     beta = np.zeros(x.shape[1])
@@ -168,37 +184,31 @@ def fit(rows: DataFrame) -> Model:
     total = F.col("toxic") + F.col("clean")
     signal = (F.col("toxic") - total * rate) / F.sqrt(total * rate * (1 - rate) + 1)
     best = joined.withColumn("z", signal).where((F.col("z") > 4) & (F.col("toxic") > 2 * F.col("clean"))).orderBy(F.desc("z"), F.desc(F.length("gram")), "gram").limit(CANDIDATES).collect()
-    landmarks: list[bytes] = []
-    kept: list[tuple[bytes, float]] = []
-    for r in best:
-        g = bytes(r.gram)
-        # a piece of a string already taken says nothing new, nor does one that shares most of its letters in order
-        if any(g in k or k in g for k, z in kept):
-            continue
-        kept.append((g, r.z))
-        if len(kept) <= LANDMARKS:
-            landmarks.append(g)
+    rare = counts.where("toxic > 0 and clean = 0").orderBy(F.desc("toxic"), F.xxhash64("word"), "word").limit(4 * CLEAN_WORDS).collect()
+    landmarks = covering({bytes(r.gram): r.clean for r in best}, {bytes(r.word): r.toxic for r in rare})
     if not landmarks:
-        return Model([], np.zeros(0), np.zeros((0, 0)), np.zeros(1), np.zeros(0, np.uint64), offset=float(np.log(max(share, 1e-3) / max(1 - share, 1e-3))) + 12.0)
-    own = np.array([subsequences(letters([v]), v)[0] for v in landmarks])
-    among = kernel(letters(landmarks), landmarks, own)
+        return Model([], offset=float(np.log(max(share, 1e-3) / max(1 - share, 1e-3))) + 12.0)
+    among = kernel(landmarks, landmarks)
     value, vector = np.linalg.eigh((among + among.T) / 2 + 1e-3 * np.eye(len(landmarks)))
-    whiten = vector / np.sqrt(np.maximum(value, 1e-3))
-    masks = np.array([np.bitwise_or.reduce(np.uint64(1) << (np.frombuffer(v, np.uint8) & 63).astype(np.uint64)) for v in landmarks])
-    model = Model(landmarks, own, whiten, np.zeros(len(landmarks) + 1), masks)
-    # clean words: the commonest, and others by hash; toxic ones: words with a landmark that no clean text has
-    common = counts.where("clean > 0").orderBy(F.desc("clean"), "word").limit(CLEAN_WORDS // 2).collect()
-    other = counts.where("clean > 0").orderBy(F.xxhash64("word"), "word").limit(CLEAN_WORDS).collect()
-    rare = counts.where("toxic > 0 and clean = 0").orderBy(F.desc("toxic"), F.xxhash64("word"), "word").limit(4 * CLEAN_WORDS).collect()
-    bad = {bytes(r.word): float(r.toxic) for r in rare if any(v in bytes(r.word) for v in landmarks)} | {v: 1.0 for v in landmarks}
-    # the words nearest to landmarks among the clean ones are the ones to be told apart
-    good = {bytes(r.word) for r in [*common, *other]} - set(bad)
-    # insults with a letter put in, as they may be written
-    spread = {v[:i] + b"x" + v[i:] for v in landmarks for i in (2, len(v) - 1)}
-    x = [*bad, *spread, *good]
-    y = np.array([1.0] * (len(bad) + len(spread)) + [-1.0] * len(good))
-    w = np.array([np.log1p(v) for v in bad.values()] + [0.3] * len(spread) + [1.0] * len(good))
-    model.weights = machine(np.vstack([model.vectors(letters(x[i : i + 4096])) for i in range(0, len(x), 4096)]), y, w)
+    model = Model(landmarks, vector / np.sqrt(np.maximum(value, 1e-3)))
+
+    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = model.passages([bytes(w) for w in b.column("word").to_pylist()])
+            rows = [(i, x) for i, some in found.items() for x in some]
+            at = pa.array([i for i, _ in rows], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([x for _, x in rows], pa.binary()), b.column("toxic").take(at), b.column("clean").take(at)], names=["passage", "toxic", "clean"])
+
+    # passages of all training words that are near a landmark, with the texts they stand in: what is to be told apart
+    near = counts.select("word", "toxic", "clean").mapInArrow(passages, "passage binary, toxic long, clean long").groupBy("passage").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    told = near.orderBy(F.desc(F.col("toxic") + F.col("clean")), "passage").limit(2 * CLEAN_WORDS).collect()
+    bad = {bytes(r.passage): float(r.toxic) - float(r.clean) * share / max(1e-9, 1 - share) for r in told}
+    good = {bytes(r.passage): float(r.clean) for r in told}
+    # a letter put into an insult, as it may be written
+    spread = {v[:i] + b"x" + v[i:] for v in landmarks for i in range(1, len(v))} - set(bad)
+    taught = [(k, 1.0, w) for k, w in bad.items() if w > 0] + [(k, -1.0, w) for k, w in good.items() if w > 0] + [(k, 1.0, 1.0) for k in spread]
+    w = np.sqrt(np.array([r[2] for r in taught]))
+    model.weights = machine(model.vectors([r[0] for r in taught]), np.array([r[1] for r in taught]), w)
     # the margin of a text is that of its worst word: fit a sigmoid to the training texts' margins
     held = margins(rows.select("y", "text"), model).groupBy("y", F.round("margin", 3).alias("m")).count().collect()
     m, t, n = (np.array([r[i] for r in held], float) for i in (1, 0, 2))
@@ -206,6 +216,22 @@ def fit(rows: DataFrame) -> Model:
     return model
 
 
+def covering(grams: dict[bytes, int], toxic: dict[bytes, int]) -> list[bytes]:
+    """Landmarks: of the candidate strings (with their clean texts), again and again the one that stands in most toxic
+    texts' words not yet covered, clean texts counting against it threefold."""
+    inside = {g: [w for w in toxic if g in w] for g in grams}
+    chosen: list[bytes] = []
+    while inside and len(chosen) < LANDMARKS:
+        gain = {g: sum(toxic[w] for w in ws) - 3 * grams[g] for g, ws in inside.items()}
+        best = max(gain, key=lambda g: (gain[g], len(g), g))
+        if gain[best] < 3:
+            break
+        chosen.append(best)
+        done = set(inside.pop(best))
+        inside = {g: rest for g, ws in inside.items() if (rest := [w for w in ws if w not in done])}
+    return chosen
+
+
 def sigmoid(m: np.ndarray, t: np.ndarray, n: np.ndarray, rounds: int = 60) -> tuple[float, float]:
     """Logistic regression of labels on one margin, slightly regularised, by Newton's method."""
     a, b = 1.0, 0.0
