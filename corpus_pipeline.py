@@ -38,7 +38,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that repeat an earlier one closely; n_chars follows the text."""
-    made = linededup.dedup_lines(bounded(spark, docs, sf_dir))
+    made = linededup.dedup_lines(bounded(spark, docs, sf_dir), distance=None)
     return made.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 

@@ -50,7 +50,7 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: how many lines it has, how many go, and a digest of the text that stays (of no bytes for null)."""
-    made = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    made = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), distance=None)
     return made.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

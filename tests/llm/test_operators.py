@@ -374,6 +374,51 @@ def test_lines_match_brute_force(stored, spark):
     assert rows_of(linededup.dedup_lines(spark.createDataFrame([], DOC))) == []
 
 
+def test_lines_match_brute_force_on_edit_similarity_alone(stored, monkeypatch):
+    rnd = random.Random(15)
+    vocabulary = ["w%d" % i for i in range(60)]
+    base = [[rnd.choice(vocabulary) for _ in range(n)] for n in (3, 4, 5, 6, 8, 10, 12, 15, 20, 25, 30, 50)] + [["a", "b"] * 5, ["x"] * 7]
+    docs = {}
+    for d in range(60):
+        lines = []
+        for _ in range(rnd.randrange(6)):
+            words = list(rnd.choice(base))
+            for _ in range(rnd.randrange(len(words) // 5 + 2)):
+                at = rnd.randrange(len(words))
+                words[at : at + rnd.randrange(2)] = rnd.choice([[], [rnd.choice(vocabulary)]])
+                words = words or ["w0"]
+            lines.append(" ".join(words))
+        docs[d] = "\n".join(lines)
+    # brute force over all lines of one occurrence order: linked where the words' edit similarity is 0.8 or more
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        return row[-1]
+
+    places = defaultdict(list)
+    for d, text in docs.items():
+        for pos, line in enumerate(text.split("\n")):
+            if line:
+                places[line].append((d, pos))
+    edges = [(a, b) for a, b in combinations(sorted(places), 2) if distance(a.split(" "), b.split(" ")) * 5 <= max(a.count(" "), b.count(" ")) + 1]
+    assert len(edges) > 50
+    group, keep = roots(list(places), edges), {}
+    for k, at in places.items():
+        keep[group[k]] = min(keep.get(group[k], (1 << 60, 0)), min(at))
+    gone = {p for k, at in places.items() for p in at if p != keep[group[k]]}
+    want = {d: "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone) for d, t in docs.items()}
+    table = stored([(d, t, "") for d, t in docs.items()], DOC)
+    assert {r.doc_id: r.text for r in linededup.dedup_lines(table, distance=None).collect()} == want
+    monkeypatch.setattr(linededup, "SAMPLED", 1)
+    monkeypatch.setattr(linededup, "OFTEN", 2)
+    monkeypatch.setattr(linededup, "COMMON", 20)
+    assert {r.doc_id: r.text for r in linededup.dedup_lines(table, distance=None).collect()} == want
+
+
 def test_longer_lines_and_larger_tables_go_the_other_way(stored, monkeypatch):
     rnd = random.Random(14)
     docs = {i: "\n".join(" ".join(rnd.choice(["a1", "b2", "c3", "d4"]) for _ in range(rnd.choice([2, 9, 15]))) for _ in range(3)) for i in range(12)}
