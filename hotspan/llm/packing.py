@@ -26,22 +26,27 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 class Encoder:
     """Ids of texts as `tokenizers` gives them from the same file, as little-endian unsigned 32-bit bytes.
 
-    The file's vocabulary is handed to tiktoken, which finds the same ids several times faster on these texts.
+    The file's vocabulary is handed to tiktoken, which finds the same ids several times faster on these texts. With
+    `added` the file's added tokens have their own ids where they stand in a text, as `tokenizers` has it by default;
+    without, they are text like any other (its `encode_special_tokens`).
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
-        special = {t["content"] for t in model["added_tokens"]}
+        special = {t["content"]: t["id"] for t in model["added_tokens"]}
+        if any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in model["added_tokens"]):
+            raise ValueError("added tokens that take in or depend on their surroundings are not supported")
         ranks = {bytes(byte_of[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in special}
-        self.coder = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.coder = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special if added else {})
+        self.allowed = "all" if added else set()
 
     def __call__(self, text: str) -> bytes:
-        return self.coder.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+        return self.coder.encode_to_numpy(text, allowed_special=self.allowed, disallowed_special=()).astype("<u4").tobytes()
 
 
 class Tightest:
@@ -125,7 +130,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     from .common import checkpoint
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = Encoder(tokenizer), end_id.to_bytes(4, "little")
+        encode, end = Encoder(tokenizer, added=True), end_id.to_bytes(4, "little")
         seen = [0] * (capacity + 1)
         for batch in batches:
             ids = batch.column("doc_id")

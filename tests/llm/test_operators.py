@@ -269,6 +269,19 @@ def test_ids_are_those_of_the_tokenizer():
         assert encode(t) == np.array(e.ids, "<u4").tobytes()
 
 
+def test_added_tokens_have_their_ids_as_in_the_tokenizer(stored):
+    from tokenizers import Tokenizer
+
+    rnd = random.Random(16)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>", "x<|endoftext|>\n y", "<|endoftext", "  <|endoftext|>  a", "<|ENDOFTEXT|>"]
+    texts += ["".join(rnd.choice(["<|endoftext|>", " ", "  ", "\n", "ab", "é", "<|", "1", "'s"]) for _ in range(rnd.randrange(1, 12))) for _ in range(1000)]
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    want = [np.array([*e.ids, 2], "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert np.frombuffer(want[0], "<u4").tolist() == [64, 220, 50256, 275, 2]
+    got = rows_of(packing.pack(stored([(i, t, "") for i, t in enumerate(texts)], DOC), TOKENIZER).orderBy("doc_id"))
+    assert [(r[3], r[4]) for r in got] == [(len(w) // 4, zlib.crc32(w)) for w in want]
+
+
 def test_plan_is_best_fit_decreasing():
     rnd = random.Random(10)
     for _ in range(60):
