@@ -103,12 +103,12 @@ class Model:
 
 
 def fit(labelled: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> Model:
-    """Model from (key, text, lang). Null languages, and texts that are null or have no letter, are left out."""
+    """Model from (key, text, lang). Null languages, and texts that are null or have no letter, are left out; a key counts once."""
     from pyspark.sql.window import Window
 
     from .common import checkpoint
 
-    ids = labelled.where("lang is not null and text is not null").select("key", "lang").withColumn("shard", F.pmod(F.xxhash64("key", F.lit(3)), F.lit(SHARDS)))
+    ids = labelled.where("lang is not null and text is not null").groupBy("key").agg(F.min("lang").alias("lang")).withColumn("shard", F.pmod(F.xxhash64("key", F.lit(3)), F.lit(SHARDS)))
     order = Window.partitionBy("lang", "shard").orderBy(F.xxhash64("key", F.lit(9)), "key")
     chosen = ids.withColumn("r", F.row_number().over(order)).where(F.col("r") <= -(-per_language // SHARDS)).select("key", "lang")
 
@@ -118,7 +118,8 @@ def fit(labelled: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> Model:
             x = [profile(t).astype(np.float32).tobytes() for _, t in rows]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array(x, pa.binary())], names=["lang", "x"])
 
-    rows = checkpoint(labelled.select("key", "lang", "text").join(chosen, ["key", "lang"]).select("lang", "text").mapInArrow(run, "lang string, x binary")).orderBy("lang", "x").collect()
+    one = labelled.select("key", "lang", "text").join(chosen, ["key", "lang"]).groupBy("key", "lang").agg(F.min("text").alias("text"))
+    rows = checkpoint(one.select("lang", "text").mapInArrow(run, "lang string, x binary")).orderBy("lang", "x").collect()
     model = Model()
     if not rows:
         return model

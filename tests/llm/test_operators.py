@@ -159,6 +159,14 @@ def test_languages(stored, spark):
     assert rows_of(langid.classify(spark.createDataFrame([], "doc_id long, text string, lang string"))) == []
 
 
+def test_languages_learn_once_from_a_repeated_id(stored, monkeypatch):
+    seen, real = [], langid.machine
+    monkeypatch.setattr(langid, "machine", lambda x, y, seed: seen.append(len(x)) or real(x, y, seed))
+    rows = [(i, f"the hand {i}" if i % 2 else f"der nicht {i}", "en" if i % 2 else "de") for i in range(20)]
+    langid.fit(stored(rows + [(1, f"the thing {i}", "en") for i in range(500)], "key long, text string, lang string"))
+    assert seen and max(seen) == 20
+
+
 # --- benchmark ---------------------------------------------------------------------------------------------------------
 
 
