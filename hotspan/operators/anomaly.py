@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graph import checkpoint
+
 FEATURES = ("max_bright_ti4", "bt_diff_max", "mean_frp", "max_frp", "observation_count", "active_days", "duration_days", "detection_density", "mean_confidence", "frp_mean_to_max_ratio")
 TREES, SAMPLE, SEED, SHARE = 100, 256, 42, 0.05
 Tree = list[tuple[int, float, int, int, int]]
@@ -80,21 +82,22 @@ def outlyingness(x: np.ndarray, trees: list[Tree]) -> np.ndarray:
 def scored(df: DataFrame, share: float = SHARE, key: str = "cluster_id", most: int = 20_000) -> DataFrame:
     """`df` with anomaly_score (higher is odder), anomaly_flag and abnormality_level.
 
-    The forest grows on at most `most` rows, the first by hash of the key; its threshold leaves `share` of those above
-    it, and the score is the distance to that threshold. Over it a row is HIGH, less than 0.05 under it ELEVATED.
+    The forest grows on at most `most` rows, the first by hash of the key; its threshold leaves `share` of
+    all rows above it, and the score is the distance to that threshold. Over it a row is HIGH, less than 0.05 under it ELEVATED.
     """
     by = scales(df)
     with_x = scaled(df, by)
     rows = with_x.select(key, "x").orderBy(F.xxhash64(key), key).limit(most).toPandas()  # bounded by `most`
     x = np.array(rows.x.tolist(), float).reshape(-1, len(FEATURES))
     trees = forest(x)
-    cut = float(np.quantile(outlyingness(x, trees), 1 - share)) if len(x) else 0.5
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
-            yield pd.Series(outlyingness(np.array(b.tolist(), float).reshape(-1, len(FEATURES)), trees) - cut)
+            yield pd.Series(outlyingness(np.array(b.tolist(), float).reshape(-1, len(FEATURES)), trees))
 
-    out = with_x.withColumn("raw", score("x")).drop("x", "anomaly_score", "anomaly_flag", "abnormality_level")
+    found = checkpoint(with_x.withColumn("odd", score("x")).drop("x"))
+    cut = found.agg(F.percentile("odd", F.lit(1 - share))).first()[0]
+    out = found.withColumn("raw", F.col("odd") - F.lit(0.5 if cut is None else cut)).drop("odd", "anomaly_score", "anomaly_flag", "abnormality_level")
     level = F.when(F.col("raw") > 0, "HIGH").when(F.col("raw") > -0.05, "ELEVATED").otherwise("NORMAL")
     return out.withColumns({"abnormality_level": level, "anomaly_flag": (F.col("raw") > 0).cast("int"), "anomaly_score": F.rint(F.col("raw") * 1e4) / 1e4}).drop("raw")

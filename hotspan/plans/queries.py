@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalar
-from ..operators import cleaning, context, features, lifecycle, rules, spatial
+from ..operators import anomaly, cleaning, context, features, lifecycle, rules, spatial
 from ..sources import adapter
 from . import master as m
 
@@ -159,6 +159,11 @@ def d1_features(spark, d):
     return m.featured(spark, d).select(*keep)
 
 
+@named
+def d4_outlier_scores(spark, d):
+    return anomaly.scored(m.featured(spark, d)).select("cluster_id", "anomaly_score", "anomaly_flag", "abnormality_level")
+
+
 @named
 def d5_explanations(spark, d):
     return rules.explained(m.featured(spark, d)).select("cluster_id", "abnormality_level", "anomaly_characterization", "explanation", "contributing_factors")

@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,6 +192,50 @@ def test_forest_finds_outliers_and_survives_missing_values(spark):
     assert anomaly.scored(df.limit(0)).count() == 0
 
 
+def plain_outliers(spark, df, most):
+    """(score, flag, level) by cluster, every tree walked row by row; the threshold is that of all rows."""
+    rows = anomaly.scaled(df, anomaly.scales(df)).select("cluster_id", "x").orderBy(F.xxhash64("cluster_id"), "cluster_id").collect()
+    x = np.array([r.x for r in rows])
+    trees = anomaly.forest(x[:most])
+
+    def odd(v):
+        total = 0.0
+        for t in trees:
+            at, depth = 0, 0
+            while t[at][0] >= 0:
+                at, depth = t[at][2] if v[t[at][0]] <= t[at][1] else t[at][3], depth + 1
+            total += depth + float(anomaly.expected(np.array([t[at][4]]))[0])
+        return 2.0 ** (-total / len(trees) / float(anomaly.expected(np.array([trees[0][0][4]]))[0]))
+
+    odds = [odd(v) for v in x]
+    cut = float(np.quantile(odds, 0.95))
+    return {r.cluster_id: (o - cut, int(o > cut), "HIGH" if o > cut else "ELEVATED" if o - cut > -0.05 else "NORMAL") for r, o in zip(rows, odds, strict=True)}
+
+
+def same_outliers(got, want):
+    assert got.keys() == want.keys()
+    for k, (score, flag, level) in want.items():
+        assert abs(got[k].anomaly_score - score) < 1e-4
+        if min(abs(score), abs(score + 0.05)) > 1e-9:
+            assert (got[k].anomaly_flag, got[k].abnormality_level) == (flag, level)
+
+
+def test_outlier_threshold_is_that_of_all_rows(spark):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, *rng.normal(size=10).tolist()) for i in range(400)], "cluster_id long, " + ", ".join(f"{c} double" for c in anomaly.FEATURES))
+    got = {r.cluster_id: r for r in anomaly.scored(df, most=40).collect()}
+    same_outliers(got, plain_outliers(spark, df, 40))
+    assert sum(r.anomaly_flag for r in got.values()) == 20
+
+
+def test_a_query_runs_the_forest_over_all_clusters(spark):
+    from hotspan.plans import master, queries
+
+    d = "/root/testdata/sf0.001"
+    got = {r.cluster_id: r for r in queries.queries()["d4_outlier_scores"](spark, d).collect()}
+    same_outliers(got, plain_outliers(spark, master.featured(spark, d), 20_000))
+
+
 def test_stream_drops_repeats_across_batches(spark, tmp_path):
     header = ",".join(ingest.RAW.fieldNames())
     line = lambda lat, time: f"{lat},75.0,330,1,1,2024-01-02,{time},N20,n,290,5"
