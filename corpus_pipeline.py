@@ -6,7 +6,6 @@ the last gives the pieces of packed sequences. `docs` is always a stored table.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hotspan.llm import decontaminate, linededup, packing, quality, simhash
-from hotspan.llm.common import table
+from hotspan.llm.common import shared_folder, table
 from hotspan.llm.queries import TOKENIZER
 
 #: Documents scored under this go; lower than the classifier's own threshold, so that doubtful ones stay.
@@ -38,7 +37,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that repeat an earlier one closely; n_chars follows the text."""
-    made = linededup.dedup_lines(bounded(spark, docs, sf_dir), distance=None)
+    made = linededup.dedup_lines(bounded(spark, docs, sf_dir))
     return made.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
@@ -70,8 +69,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; what each keeps is written to the shared folder and read again."""
-    shared = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pipeline-")
-    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")

@@ -341,20 +341,18 @@ def test_packing_round_trip(stored, spark):
 # --- lines -------------------------------------------------------------------------------------------------------------
 
 
-def plain_lines(docs):
-    import re
+def words_apart(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
 
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            before, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
-        return row[-1]
 
-    def fp(line):
-        h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in line.split(" ")]
-        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+def plain_lines(docs):
+    """Texts that stay, and how many links: brute force over all pairs of lines, by edit similarity alone."""
+    import re
 
     occurrences = defaultdict(list)
     for d, text in sorted(docs.items()):
@@ -362,8 +360,8 @@ def plain_lines(docs):
             line = re.sub(r"[\W_]+", " ", raw.lower()).strip()
             if line:
                 occurrences[line].append((d, pos))
-    fps = {k: fp(k) for k in occurrences}
-    edges = [(a, b) for a, b in combinations(sorted(occurrences), 2) if (fps[a] ^ fps[b]).bit_count() <= 3 and distance(a.split(" "), b.split(" ")) * 5 <= max(a.count(" "), b.count(" ")) + 1]
+    near = lambda a, b: abs(len(a) - len(b)) * 5 <= max(len(a), len(b)) and words_apart(a, b) * 5 <= max(len(a), len(b))
+    edges = [(a, b) for a, b in combinations(sorted(occurrences), 2) if near(a.split(" "), b.split(" "))]
     group = roots(list(occurrences), edges)
     keep = {}
     for k, places in occurrences.items():
@@ -388,17 +386,20 @@ def test_lines_match_brute_force(stored, spark):
     docs |= {100: None, 101: "", 102: "\n\n", 103: "É ß"}
     want, edges = plain_lines(docs)
     assert edges > 5
-    table = stored([(d, t, "keep") for d, t in docs.items()], "doc_id long, text string, n_lines string")
+    # columns of the caller's with the names that the operator uses itself, or makes
+    table = stored([(d, t, "keep", 7, ["own"]) for d, t in docs.items()], "doc_id long, text string, n_lines string, rid int, gone array<string>")
     got = linededup.dedup_lines(table)
     assert {r.doc_id: r.text for r in got.collect()} == want
+    assert {(r.rid, *r.gone) for r in got.collect()} == {(7, "own")}
     assert sorted(rows_of(linededup.dedup_lines(stored([(1, "a b\nc", ""), (1, "a b\nc", "")], DOC)).select("text", "n_removed"))) == [("", 2), ("a b\nc", 0)]
     assert rows_of(linededup.dedup_lines(spark.createDataFrame([], DOC))) == []
+    assert rows_of(linededup.dedup_lines(stored([(None, None, None)] * 2, DOC)).select("doc_id", "text", "n_lines")) == [(None, None, 0)] * 2
 
 
-def test_lines_match_brute_force_on_edit_similarity_alone(stored, monkeypatch):
+def test_lines_with_many_edits_match_brute_force(stored, monkeypatch):
     rnd = random.Random(15)
     vocabulary = ["w%d" % i for i in range(60)]
-    base = [[rnd.choice(vocabulary) for _ in range(n)] for n in (3, 4, 5, 6, 8, 10, 12, 15, 20, 25, 30, 50)] + [["a", "b"] * 5, ["x"] * 7]
+    base = [[rnd.choice(vocabulary) for _ in range(n)] for n in (3, 4, 5, 6, 8, 9, 10, 12, 14)] + [["a", "b"] * 5, ["x"] * 7]
     docs = {}
     for d in range(60):
         lines = []
@@ -410,51 +411,60 @@ def test_lines_match_brute_force_on_edit_similarity_alone(stored, monkeypatch):
                 words = words or ["w0"]
             lines.append(" ".join(words))
         docs[d] = "\n".join(lines)
-    # brute force over all lines of one occurrence order: linked where the words' edit similarity is 0.8 or more
-
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            before, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
-        return row[-1]
-
-    places = defaultdict(list)
-    for d, text in docs.items():
-        for pos, line in enumerate(text.split("\n")):
-            if line:
-                places[line].append((d, pos))
-    edges = [(a, b) for a, b in combinations(sorted(places), 2) if distance(a.split(" "), b.split(" ")) * 5 <= max(a.count(" "), b.count(" ")) + 1]
-    assert len(edges) > 50
-    group, keep = roots(list(places), edges), {}
-    for k, at in places.items():
-        keep[group[k]] = min(keep.get(group[k], (1 << 60, 0)), min(at))
-    gone = {p for k, at in places.items() for p in at if p != keep[group[k]]}
-    want = {d: "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone) for d, t in docs.items()}
+    want, edges = plain_lines(docs)
+    assert edges > 50
     table = stored([(d, t, "") for d, t in docs.items()], DOC)
-    assert {r.doc_id: r.text for r in linededup.dedup_lines(table, distance=None).collect()} == want
-    monkeypatch.setattr(linededup, "SAMPLED", 1)
-    monkeypatch.setattr(linededup, "OFTEN", 2)
-    monkeypatch.setattr(linededup, "COMMON", 20)
-    assert {r.doc_id: r.text for r in linededup.dedup_lines(table, distance=None).collect()} == want
-
-
-def test_longer_lines_and_larger_tables_go_the_other_way(stored, monkeypatch):
-    rnd = random.Random(14)
-    docs = {i: "\n".join(" ".join(rnd.choice(["a1", "b2", "c3", "d4"]) for _ in range(rnd.choice([2, 9, 15]))) for _ in range(3)) for i in range(12)}
-    want, _ = plain_lines(docs)
-    monkeypatch.setattr(linededup, "BROADCAST", -1)
-    assert {r.doc_id: r.text for r in linededup.dedup_lines(stored([(d, t, "") for d, t in docs.items()], DOC)).collect()} == want
-    fps = lambda texts: {r.pos: r.fp for r in linededup.fingerprinted(stored([(1, "\n".join(texts), 7)], "doc_id long, text string, rid long")).collect()}
-    long = " ".join(f"w{i % 1000}" for i in range(33000))
-    got = fps([long, " ".join(f"w{i}" for i in range(1000)), "w1"])
-    assert got[0] == got[1] != got[2]
-
-
-def test_lines_need_enough_blocks(stored):
+    run = lambda: {r.doc_id: r.text for r in linededup.dedup_lines(table, distance=64).collect()}
+    assert run() == want
+    # the order of blocks and the way of joining change nothing
+    for name, value in (("SAMPLED", 1), ("OFTEN", 2), ("COMMON", 20), ("BROADCAST", -1)):
+        monkeypatch.setattr(linededup, name, value)
+    assert run() == want
+
+
+@pytest.mark.parametrize(("share", "least"), [(0.05, 0.95), (0.1, 0.95), (0.2, 0.7)])
+def test_recall_of_similar_lines_by_length(stored, share, least):
+    """Pairs of lines, one with `share` of its words (one at least) replaced: how many are found, by number of words."""
+    rnd = random.Random(16)
+    fresh = iter(range(10**9))
+    lengths, each, docs = (5, 8, 12, 16, 20, 30, 60, 120), 150, []
+    for n in lengths:
+        for _ in range(each):
+            a = [f"w{rnd.randrange(50_000)}" for _ in range(n)]
+            b = list(a)
+            for at in rnd.sample(range(n), max(1, int(n * share))):
+                b[at] = f"new{next(fresh)}"
+            docs.append((len(docs), " ".join(a) + "\n" + " ".join(b), ""))
+    got = Counter()
+    for r in linededup.dedup_lines(stored(docs, DOC)).collect():
+        got[lengths[r.doc_id // each]] += r.n_removed
+    found = {n: got[n] / each for n in lengths}
+    assert min(found.values()) >= least, found
+    assert sum(found.values()) / len(found) >= 0.9, found
+
+
+def test_a_large_group_of_near_copies_is_one(stored):
+    rnd = random.Random(17)
+    base = [f"w{i}" for i in range(40)]
+    docs = []
+    for d in range(300):
+        words = list(base)
+        words[rnd.randrange(40)] = f"x{d}"
+        docs.append((d, " ".join(words), ""))
+    left = [r.doc_id for r in linededup.dedup_lines(stored(docs, DOC)).where("text <> ''").collect()]
+    assert left == [0]
+
+
+def test_simhash_of_very_long_lines(spark):
+    long, double = [chr(0x10000 + i % 1000) for i in range(33_000)], [chr(0x10000 + i) for i in range(1000)]
+    codes = spark.createDataFrame([(1, "".join(long)), (2, "".join(double)), (3, "\U00010000")], "node long, code string")
+    got = {r.node: r.fp for r in linededup.simhash(codes).collect()}
+    assert got[1] == got[2] != got[3]
+
+
+def test_lines_of_lower_similarity_are_refused(stored):
     with pytest.raises(ValueError):
-        linededup.dedup_lines(stored([(1, "a", "")], DOC), distance=4)
+        linededup.dedup_lines(stored([(1, "a", "")], DOC), tenths=7)
 
 
 # --- near duplicates ---------------------------------------------------------------------------------------------------
