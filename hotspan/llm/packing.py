@@ -28,7 +28,8 @@ class Encoder:
 
     The file's vocabulary is handed to tiktoken, which finds the same ids several times faster on these texts. With
     `added` the file's added tokens have their own ids where they stand in a text, as `tokenizers` has it by default;
-    without, they are text like any other (its `encode_special_tokens`).
+    without, they are text like any other (its `encode_special_tokens`). A text that the fast way cannot take, such as
+    one with a very long run of blanks, goes through `tokenizers` itself.
     """
 
     def __init__(self, path: str, added: bool = False):
@@ -43,10 +44,18 @@ class Encoder:
             raise ValueError("added tokens that take in or depend on their surroundings are not supported")
         ranks = {bytes(byte_of[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in special}
         self.coder = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special if added else {})
-        self.allowed = "all" if added else set()
+        self.allowed, self.path, self.added, self.slow = "all" if added else set(), path, added, None
 
     def __call__(self, text: str) -> bytes:
-        return self.coder.encode_to_numpy(text, allowed_special=self.allowed, disallowed_special=()).astype("<u4").tobytes()
+        try:
+            return self.coder.encode_to_numpy(text, allowed_special=self.allowed, disallowed_special=()).astype("<u4").tobytes()
+        except ValueError:
+            if self.slow is None:
+                from tokenizers import Tokenizer
+
+                self.slow = Tokenizer.from_file(self.path)
+                self.slow.encode_special_tokens = not self.added
+            return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 class Tightest:

@@ -270,11 +270,12 @@ def test_ids_are_those_of_the_tokenizer():
     from tokenizers import Tokenizer
 
     rnd = random.Random(9)
-    texts = ["", "  a  b", "a \n b", "don't 's  'll", "<|endoftext|> a", "é  b c\t d  \n\n e", "\x1c \x85 a"] + ["".join(rnd.choice("ab \n\t'sé1.  \x85　漢") for _ in range(rnd.randrange(1, 20))) for _ in range(3000)]
-    tokenizer, encode = Tokenizer.from_file(TOKENIZER), packing.Encoder(TOKENIZER)
-    tokenizer.encode_special_tokens = True
-    for t, e in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
-        assert encode(t) == np.array(e.ids, "<u4").tobytes()
+    texts = ["", "  a  b", "a \n b", "don't 's  'll", "<|endoftext|> a", "a <|endoftext|> b", "x<|endoftext|><|endoftext|>", "<|endoftext", "é  b c\t d  \n\n e", "\x1c \x85 a"]
+    texts += ["".join(rnd.choice("ab \n\t'sé1.  \x85　漢") for _ in range(rnd.randrange(1, 20))) for _ in range(3000)]
+    texts += [" " * 1_000_000, "a" * 20_000, "ab1" * 20_000, "\n" * 300_000 + "a"]
+    tokenizer, encode = Tokenizer.from_file(TOKENIZER), packing.Encoder(TOKENIZER, added=True)
+    for t in texts:
+        assert encode(t) == np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t[:40]
 
 
 def test_added_tokens_have_their_ids_as_in_the_tokenizer(stored):
