@@ -37,10 +37,14 @@ def valid_positions(df: DataFrame) -> DataFrame:
     return df.where(F.col("latitude").between(-90, 90) & F.col("longitude").between(-180, 180))
 
 
+def repeat_keys(df: DataFrame) -> list[str]:
+    """What makes two rows the same observation; a feed without the instrument is told apart by the rest."""
+    return [c for c in ("latitude", "longitude", "acq_date", "acq_time", "satellite", "instrument") if c in df.columns]
+
+
 def without_repeats(df: DataFrame) -> DataFrame:
-    """The first row, by file and place in it, of rows that agree in place, time, satellite and date."""
-    keys = ["latitude", "longitude", "acq_date", "acq_time", "satellite", "confidence"]
-    w = Window.partitionBy(*keys).orderBy("source_file", "row_pos")
+    """The first row, by file and place in it, of rows that agree in place, time, satellite, instrument and date."""
+    w = Window.partitionBy(*repeat_keys(df)).orderBy("source_file", "row_pos")
     return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
@@ -52,10 +56,9 @@ def clean(raw: DataFrame) -> DataFrame:
 
 def cleaning_report(raw: DataFrame) -> DataFrame:
     """One row: rows read, rows with valid positions, rows that stay, and what went, in counts and per cent."""
-    keys = ["latitude", "longitude", "acq_date", "acq_time", "satellite", "confidence"]
     t = typed(raw)
     ok = F.coalesce(F.col("latitude").between(-90, 90) & F.col("longitude").between(-180, 180), F.lit(False))
-    per_key = t.withColumn("ok", ok).groupBy("ok", *keys).count()
+    per_key = t.withColumn("ok", ok).groupBy("ok", *repeat_keys(t)).count()
     out = per_key.agg(F.sum("count").alias("input_rows"), F.sum(F.when(F.col("ok"), F.col("count")).otherwise(0)).alias("valid_rows"), F.count_if("ok").alias("kept_rows"))
     return out.select("input_rows", "valid_rows", "kept_rows", (F.col("input_rows") - F.col("valid_rows")).alias("invalid_removed"), (F.col("valid_rows") - F.col("kept_rows")).alias("repeats_removed"), (F.rint(F.col("kept_rows") * 10000.0 / F.col("input_rows")) / 100.0).alias("kept_pct"))
 

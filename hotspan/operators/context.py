@@ -91,13 +91,13 @@ def gaps(series: DataFrame) -> DataFrame:
 def interpolated(series: DataFrame, method: str = "linear", most: int = 3, clouds: DataFrame | None = None, cloudy: float = 70.0) -> DataFrame:
     """(cluster_id, day, value): values for the days of gaps of at most `most` days.
 
-    linear: on the line between the values around; nearest: the nearer of them, the earlier one up to the middle;
+    linear: on the line between the values around; nearest: the earlier one for the days up to number n div 2 of n, counted from 0, then the later one;
     spline: the smooth step 3t^2 - 2t^3. With `clouds` (acq_date, cloud_cover) only gaps cloudy on all days are filled.
     """
     g = gaps(series).where(C("gap_days") <= most).withColumn("i", F.explode(F.expr("sequence(0, gap_days - 1)")))
     n, a, z = C("gap_days"), C("value"), C("next_value")
     t = (C("i") + 1) / (n + 1)
-    value = {"linear": a + (z - a) * t, "nearest": F.when(C("i") <= F.floor((n - 1) / 2), a).otherwise(z), "spline": a + (z - a) * (t * t * 3.0 - t * t * t * 2.0)}[method]
+    value = {"linear": a + (z - a) * t, "nearest": F.when(C("i") <= F.floor(n / 2), a).otherwise(z), "spline": a + (z - a) * (t * t * 3.0 - t * t * t * 2.0)}[method]
     out = g.withColumns({"at": F.expr("date_add(day, i + 1)"), "filled": rounded(value, 6), "start": C("day")})
     if clouds is not None:
         c = out.join(clouds.select(C("acq_date").alias("at"), "cloud_cover"), "at", "left")
@@ -122,15 +122,24 @@ def gap_reasons(series: DataFrame, clouds: DataFrame) -> DataFrame:
     return d.select("cluster_id", "day", "cloud_cover", reason.alias("gap_type"), rounded((C("p") + C("q")) / 2.0, 6).alias("filled_value"))
 
 
-def uncertainty(df: DataFrame) -> DataFrame:
-    """Uncertainty of class and risk with intervals and whether a person should look.
+def feature_noise(features: tuple[str, ...]) -> Column:
+    """Of standardised features 0.3 times the share beyond 3 and 0.7 times the share missing; one half where there are none."""
+    if not features:
+        return F.lit(0.5)
+    share = lambda test: sum((F.when(test(C(f)), 1).otherwise(0) for f in features), F.lit(0)) / float(len(features))
+    missing = lambda f: f.isNull() | F.isnan(f.cast("double"))
+    return share(lambda f: ~missing(f) & (F.abs(f) > 3.0)) * 0.3 + share(missing) * 0.7
+
+
+def uncertainty(df: DataFrame, features: tuple[str, ...] = ()) -> DataFrame:
+    """Uncertainty of class and risk with intervals and whether a person should look; `features` are standardised columns.
 
     Needs classification_score, observation_count, completeness (share of days seen), cloud (share 0 to 1), risk and false-alarm columns.
     """
     s, n, cloud, full = C("classification_score"), C("observation_count"), C("cloud"), C("completeness")
     data = F.when(cloud > 0.5, (cloud - 0.5) * 0.8).otherwise(0.0) + F.when(n < 3, (3 - n) * 0.15).otherwise(0.0)
     clip = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
-    u = rounded(clip(data * 0.3 + (1.0 - s) * 0.3 + (1.0 - full) * 0.2), 6)
+    u = rounded(clip(data * 0.3 + (1.0 - s) * 0.3 + feature_noise(features) * 0.2 + (1.0 - full) * 0.2), 6)
     base = first((C("risk_level") == "HIGH", 0.2), (C("risk_level") == "MEDIUM", 0.4), otherwise=0.3)
     fa = first((C("false_alarm_indicator") == "HIGH", 0.4), (C("false_alarm_indicator") == "MEDIUM", 0.2), otherwise=0.0)
     seen = F.when(cloud > 0.5, 0.3).otherwise(0.0) + F.when(n < 3, 0.2).otherwise(0.0)

@@ -67,7 +67,7 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
         ts::DATE AS acq_date, strftime(ts, '%H%M') AS acq_time, ts AS acquisition_datetime, 295.0::DOUBLE + value * 0.2::DOUBLE AS bright_ti4, 270.0::DOUBLE + k * 0.3::DOUBLE AS bright_ti5, value / 10.0::DOUBLE AS frp,
         CASE k % 3 WHEN 0 THEN 'l' WHEN 1 THEN 'n' ELSE 'h' END AS confidence, CASE WHEN event_type IN ('view', 'click') THEN 'NOAA-20' ELSE 'NOAA-21' END AS satellite FROM e1"""),
     "dirty": (("det",), """SELECT detection_id, row_pos, CASE WHEN detection_id % 97 = 0 THEN 999.0 ELSE latitude END AS latitude, CASE WHEN detection_id % 101 = 0 THEN NULL ELSE longitude END AS longitude,
-        acq_date, acq_time, bright_ti4, frp, confidence, satellite, CASE satellite WHEN 'NOAA-20' THEN 'firms_noaa20.csv' ELSE 'firms_noaa21.csv' END AS source_file, acquisition_datetime
+        acq_date, acq_time, bright_ti4, frp, confidence, satellite, CASE WHEN detection_id % 3 = 0 THEN 'VIIRS' ELSE 'MODIS' END AS instrument, CASE satellite WHEN 'NOAA-20' THEN 'firms_noaa20.csv' ELSE 'firms_noaa21.csv' END AS source_file, acquisition_datetime
         FROM (SELECT *, detection_id AS row_pos FROM det UNION ALL SELECT *, detection_id + 100000000 AS row_pos FROM det WHERE detection_id % 50 = 0)"""),
     "valid": (("dirty",), "SELECT * FROM dirty WHERE latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180"),
     "stations": ((), f"SELECT s_suppkey AS station_id, s_name AS station_name, {SLAT} AS station_lat, {SLON} AS station_lon FROM supplier"),
@@ -145,7 +145,7 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
         CASE WHEN suppressed THEN 'Suppressed for monitoring (high false-alarm concern, weak evidence)' END, CASE WHEN capped THEN 'Downgraded: high false-alarm concern caps severity at MEDIUM' END], lambda x: x IS NOT NULL) AS list FROM t2"""),
     "alerts": (("t3",), """SELECT * EXCLUDE (list), CASE WHEN len(list) > 0 THEN array_to_string(list, '; ') ELSE 'Routine thermal baseline / informational monitoring' END AS reasons, 'TAL-' || CASE WHEN length(cluster_id::VARCHAR) < 5 THEN lpad(cluster_id::VARCHAR, 5, '0') ELSE cluster_id::VARCHAR END AS alert_id, 'ACTIVE' AS status FROM t3"""),
     "season": (("master",), "SELECT *, CASE " + " ".join(f"WHEN {BOX.format(*s)} THEN '{s[0]}'" for s in SEASON) + " END AS season_region, CASE " + " ".join(f"WHEN {BOX.format(*s)} THEN month(first_detection) IN ({s[5]})" for s in SEASON) + " END AS farm, CASE " + " ".join(f"WHEN {BOX.format(*s)} THEN month(first_detection) IN ({s[6]})" for s in SEASON) + " END AS wood FROM master"),
-    "unc0": (("master",), f"""SELECT *, {rnd("least(1.0::DOUBLE, greatest(0.0::DOUBLE, (CASE WHEN cloud > 0.5 THEN (cloud - 0.5::DOUBLE) * 0.8::DOUBLE ELSE 0.0 END + CASE WHEN observation_count < 3 THEN (3 - observation_count) * 0.15::DOUBLE ELSE 0.0 END) * 0.3::DOUBLE + (1.0::DOUBLE - classification_score) * 0.3::DOUBLE + (1.0::DOUBLE - active_day_ratio) * 0.2::DOUBLE))", 6)} AS u,
+    "unc0": (("master",), f"""SELECT *, {rnd("least(1.0::DOUBLE, greatest(0.0::DOUBLE, (CASE WHEN cloud > 0.5 THEN (cloud - 0.5::DOUBLE) * 0.8::DOUBLE ELSE 0.0 END + CASE WHEN observation_count < 3 THEN (3 - observation_count) * 0.15::DOUBLE ELSE 0.0 END) * 0.3::DOUBLE + (1.0::DOUBLE - classification_score) * 0.3::DOUBLE + ((coalesce((abs(bt_diff_mean) > 3)::INT, 0) + coalesce((abs(bt_diff_max) > 3)::INT, 0) + coalesce((abs(frp_mean_to_max_ratio) > 3)::INT, 0) + coalesce((abs(detection_density) > 3)::INT, 0) + coalesce((abs(active_day_ratio) > 3)::INT, 0))::DOUBLE / 5.0::DOUBLE * 0.3::DOUBLE + ((bt_diff_mean IS NULL)::INT + (bt_diff_max IS NULL)::INT + (frp_mean_to_max_ratio IS NULL)::INT + (detection_density IS NULL)::INT + (active_day_ratio IS NULL)::INT)::DOUBLE / 5.0::DOUBLE * 0.7::DOUBLE) * 0.2::DOUBLE + (1.0::DOUBLE - active_day_ratio) * 0.2::DOUBLE))", 6)} AS u,
         {rnd("least(1.0::DOUBLE, greatest(0.0::DOUBLE, CASE risk_level WHEN 'HIGH' THEN 0.2::DOUBLE WHEN 'MEDIUM' THEN 0.4 ELSE 0.3 END * 0.3::DOUBLE + CASE false_alarm_indicator WHEN 'HIGH' THEN 0.4::DOUBLE WHEN 'MEDIUM' THEN 0.2 ELSE 0.0 END * 0.3::DOUBLE + (CASE WHEN cloud > 0.5 THEN 0.3::DOUBLE ELSE 0.0 END + CASE WHEN observation_count < 3 THEN 0.2::DOUBLE ELSE 0.0 END) * 0.2::DOUBLE + (1.0::DOUBLE - classification_score) * 0.2::DOUBLE))", 6)} AS ru FROM (SELECT *, (cluster_id % 101) / 100.0::DOUBLE AS cloud FROM master)"""),
     "series": (("cd",), "SELECT cluster_id, acq_date AS day, max(frp) AS value FROM cd GROUP BY ALL"),
     "gaps": (("series",), "SELECT *, datediff('day', day, nd) - 1 AS g FROM (SELECT *, lead(day) OVER w AS nd, lead(value) OVER w AS nv FROM series WINDOW w AS (PARTITION BY cluster_id ORDER BY day)) WHERE datediff('day', day, nd) > 1"),
@@ -204,10 +204,10 @@ def oracle_sql() -> dict[str, str]:
         "s9_s12_nested_features": "SELECT (props->>'$.k')::INT AS k, count(*) AS n FROM events WHERE (props->>'$.k')::INT >= 90 GROUP BY 1",
         "p1_p2_typed": sql("SELECT row_pos, latitude, longitude, acq_time, strftime(date_trunc('minute', acquisition_datetime), '%Y-%m-%d %H:%M') AS stamp, confidence FROM dirty", "dirty"),
         "p3_valid_positions": sql("SELECT satellite, count(*) AS n FROM valid GROUP BY 1", "valid"),
-        "w1_without_repeats": sql("SELECT row_pos, detection_id, acq_time, confidence FROM (SELECT *, row_number() OVER (PARTITION BY latitude, longitude, acq_date, acq_time, satellite, confidence ORDER BY source_file, row_pos) AS n FROM valid) WHERE n = 1", "valid"),
+        "w1_without_repeats": sql("SELECT row_pos, detection_id, acq_time, confidence FROM (SELECT *, row_number() OVER (PARTITION BY latitude, longitude, acq_date, acq_time, satellite, instrument ORDER BY source_file, row_pos) AS n FROM valid) WHERE n = 1", "valid"),
         "p4_observation_keys": sql(f"SELECT detection_id, md5(concat_ws('|', {fixed('latitude', 5)}, {fixed('longitude', 5)}, acq_date::VARCHAR, acq_time, satellite))[:16] AS observation_key FROM det", "det"),
         "p5_missing_summary": sql("SELECT unnest(['latitude', 'longitude', 'acq_date', 'frp']) AS \"column\", unnest([count_if(latitude IS NULL), count_if(longitude IS NULL), count_if(acq_date IS NULL), count_if(frp IS NULL)])::BIGINT AS missing FROM dirty", "dirty"),
-        "a12_cleaning_report": sql("SELECT i::BIGINT AS input_rows, v::BIGINT AS valid_rows, k AS kept_rows, (i - v)::BIGINT AS invalid_removed, (v - k)::BIGINT AS repeats_removed, round_even(k * 10000.0::DOUBLE / i, 0) / 100.0::DOUBLE AS kept_pct FROM (SELECT count(*) AS i FROM dirty), (SELECT count(*) AS v FROM valid), (SELECT count(*) AS k FROM (SELECT DISTINCT latitude, longitude, acq_date, acq_time, satellite, confidence FROM valid))", "valid"),
+        "a12_cleaning_report": sql("SELECT i::BIGINT AS input_rows, v::BIGINT AS valid_rows, k AS kept_rows, (i - v)::BIGINT AS invalid_removed, (v - k)::BIGINT AS repeats_removed, round_even(k * 10000.0::DOUBLE / i, 0) / 100.0::DOUBLE AS kept_pct FROM (SELECT count(*) AS i FROM dirty), (SELECT count(*) AS v FROM valid), (SELECT count(*) AS k FROM (SELECT DISTINCT latitude, longitude, acq_date, acq_time, satellite, instrument FROM valid))", "valid"),
         "p18_inside_boundary": sql(f"SELECT acq_date, count(*) AS n FROM det WHERE {crossings()} GROUP BY 1", "det"),
         "a12_boundary_report": sql(f"SELECT count(*) AS input_rows, count_if({crossings()})::BIGINT AS inside_rows FROM det", "det"),
         "j5_neighbour_pairs": sql("SELECT a, b FROM edges", "edges"),
@@ -233,7 +233,7 @@ def oracle_sql() -> dict[str, str]:
         "d17_d18_uncertainty": sql(f"SELECT cluster_id, u AS uncertainty, {rnd('greatest(0.0::DOUBLE, classification_score - u * 0.4::DOUBLE)', 3)} AS ci_low, {rnd('least(1.0::DOUBLE, classification_score + u * 0.4::DOUBLE)', 3)} AS ci_high, u > 0.6 OR classification_score < 0.4 OR (u > 0.3 AND classification_score < 0.6) AS needs_review, ru AS risk_uncertainty, {rnd('greatest(0.0::DOUBLE, risk_score - ru * 20)', 3)} AS risk_ci_low, {rnd('least(100.0::DOUBLE, risk_score + ru * 20)', 3)} AS risk_ci_high, (risk_level = 'HIGH' AND (ru > 0.4 OR false_alarm_indicator = 'HIGH')) OR (risk_level = 'MEDIUM' AND ru > 0.5) OR ru > 0.6 AS risk_needs_review FROM unc0", "unc0"),
         "d19_d36_cloud": sql(CLOUD, "det"),
         "d20_interpolated_linear": sql(f"SELECT cluster_id, d AS day, {rnd('value + (nv - value) * t', 6)} AS value FROM fill", "fill"),
-        "d20_interpolated_nearest": sql(f"SELECT cluster_id, d AS day, {rnd('CASE WHEN i <= (g - 1) // 2 THEN value ELSE nv END', 6)} AS value FROM fill", "fill"),
+        "d20_interpolated_nearest": sql(f"SELECT cluster_id, d AS day, {rnd('CASE WHEN i <= g // 2 THEN value ELSE nv END', 6)} AS value FROM fill", "fill"),
         "d20_interpolated_spline_cloudy": sql(f"SELECT cluster_id, d AS day, {rnd('value + (nv - value) * (t * t * 3.0::DOUBLE - t * t * t * 2.0::DOUBLE)', 6)} AS value FROM (SELECT fill.*, bool_and(coalesce(cloud_cover > 70, FALSE)) OVER (PARTITION BY cluster_id, fill.day) AS dark FROM fill LEFT JOIN clouds ON clouds.acq_date = fill.d) WHERE dark", "fill", "clouds"),
         "d22_d23_gap_reasons": sql(f"SELECT cluster_id, d AS day, cc AS cloud_cover, CASE WHEN cc > 70 AND (i = 0 OR i = g - 1) THEN 'cloud_obscured' WHEN cc > 70 THEN 'uncertain' WHEN cc < 30 THEN 'real_gap' ELSE 'uncertain' END AS gap_type, {rnd('(value + nv) / 2.0::DOUBLE', 6)} AS filled_value FROM (SELECT z.*, coalesce(cloud_cover, 50.0) AS cc FROM (SELECT *, (day + (i + 1)::INT)::DATE AS d FROM (SELECT *, unnest(range(0, g)) AS i FROM gaps)) z LEFT JOIN clouds ON clouds.acq_date = z.d)", "gaps", "clouds"),
         "d24_fire_weather": f"SELECT event_id, {rnd('least(100.0::DOUBLE, greatest(0.0::DOUBLE, least(30.0::DOUBLE, greatest(0.0::DOUBLE, (t - 10) * 1.5::DOUBLE)) + least(30.0::DOUBLE, greatest(0.0::DOUBLE, (100 - h) * 0.4::DOUBLE)) + least(25.0::DOUBLE, greatest(0.0::DOUBLE, w * 2.5::DOUBLE)) - least(15.0::DOUBLE, greatest(0.0::DOUBLE, p * 2))))', 2)} AS fire_weather_index FROM (SELECT event_id, value / 10.0::DOUBLE AS t, 100.0::DOUBLE - value / 5.0::DOUBLE AS h, value / 50.0::DOUBLE AS w, (event_id % 7)::DOUBLE AS p FROM events)",
@@ -273,8 +273,8 @@ def oracle_sql() -> dict[str, str]:
         "p15_popups": sql("SELECT alert_id, severity FROM alerts WHERE NOT suppressed AND severity IN ('HIGH', 'CRITICAL')", "alerts"),
         "p16_reliable_directions": sql("SELECT cluster_id, direction, direction_confidence_score FROM move WHERE movement_status = 'MOVING' AND direction_available AND direction_confidence IN ('MODERATE', 'HIGH')", "move"),
         "p17_prohibited_terms": sql("SELECT count(*) AS n, count_if(contains(lower(reasons), 'confirmed fire'))::BIGINT AS prohibited FROM alerts", "alerts"),
-        "api_map_data": sql("""SELECT cluster_id, '{"type":"Feature","geometry":{"type":"Point","coordinates":[' || round_even(longitude * 1000, 0)::BIGINT || ',' || round_even(latitude * 1000, 0)::BIGINT || ']},"properties":{"cluster_id":' || cluster_id || ',"risk_level":"' || risk_level || '"}}' AS feature FROM risk WHERE risk_level <> 'LOW'""", "risk"),
-        "u5_factor_union": sql("SELECT cluster_id, CASE WHEN list_contains(string_split(contributing_factors, ','), persistence_category) THEN replace(contributing_factors, ',', ';') ELSE replace(contributing_factors, ',', ';') || ';' || persistence_category END AS factors FROM expl", "expl"),
+        "api_map_data": sql(f"""SELECT cluster_id, '{{"type":"Feature","geometry":{{"type":"Point","coordinates":[' || ({rnd('longitude', 5)})::DECIMAL(9,5) || ',' || ({rnd('latitude', 5)})::DECIMAL(9,5) || ']}},"properties":{{"cluster_id":' || cluster_id || ',"risk_score":' || risk_score::DECIMAL(6,2) || ',"risk_level":"' || risk_level || '","abnormality_level":"' || abnormality_level || '","false_alarm_indicator":"' || false_alarm_indicator || '","classification_label":"' || classification_label || '","movement_status":"' || movement_status || '"}}}}' AS feature FROM master""", "master"),
+        "u5_factor_union": sql("SELECT cluster_id, CASE WHEN list_contains(string_split(lower(contributing_factors), ','), lower(persistence_category)) THEN replace(contributing_factors, ',', ';') ELSE replace(contributing_factors, ',', ';') || ';' || persistence_category END AS factors FROM expl", "expl"),
         "u1_u3_union_distinct": sql("SELECT DISTINCT floor(station_lat)::BIGINT AS a, floor(station_lon)::BIGINT AS o FROM stations UNION SELECT floor(facility_lat)::BIGINT, floor(facility_lon)::BIGINT FROM facilities", "stations", "facilities"),
         "u4_remaining": sql("SELECT cluster_id FROM alerts WHERE severity = 'LOW'", "alerts"),
         "masked_phones": "SELECT c_custkey, CASE WHEN length(d) <= 4 THEN '****' ELSE repeat('*', length(d) - 4) || right(d, 4) END AS phone FROM (SELECT c_custkey, '+91' || CASE WHEN c_custkey % 9 < length((c_custkey * 7919 % 100000)::VARCHAR) THEN left((c_custkey * 7919 % 100000)::VARCHAR, (c_custkey % 9)::INT) ELSE lpad((c_custkey * 7919 % 100000)::VARCHAR, (c_custkey % 9)::INT, '0') END AS d FROM customer)",

@@ -17,6 +17,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 C = F.col
 LEVELS = ("LOW", "MEDIUM", "HIGH")
+#: Features whose extremes and gaps count as noise.
+UNCERTAIN_FROM = ("bt_diff_mean", "bt_diff_max", "frp_mean_to_max_ratio", "detection_density", "active_day_ratio")
 
 
 def named(f: Query) -> Query:
@@ -220,7 +222,7 @@ def d14_d16_seasonal(spark, d):
 @named
 def d17_d18_uncertainty(spark, d):
     x = m.master(spark, d).withColumns({"completeness": C("active_day_ratio"), "cloud": (C("cluster_id") % 101) / 100.0})
-    return context.uncertainty(x).select("cluster_id", "uncertainty", "ci_low", "ci_high", "needs_review", "risk_uncertainty", "risk_ci_low", "risk_ci_high", "risk_needs_review")
+    return context.uncertainty(x, UNCERTAIN_FROM).select("cluster_id", "uncertainty", "ci_low", "ci_high", "needs_review", "risk_uncertainty", "risk_ci_low", "risk_ci_high", "risk_needs_review")
 
 
 @named
@@ -362,7 +364,7 @@ def a11_analytics(spark, d):
 @named
 def a13_uncertainty_rollup(spark, d):
     x = m.master(spark, d).withColumns({"completeness": C("active_day_ratio"), "cloud": (C("cluster_id") % 101) / 100.0})
-    return context.uncertainty(x).groupBy("risk_level").agg(scalar.mean3(C("uncertainty")).alias("mean"), F.max("uncertainty").alias("most"), F.count_if(C("uncertainty") > 0.3).alias("uncertain"), F.count("*").alias("n"))
+    return context.uncertainty(x, UNCERTAIN_FROM).groupBy("risk_level").agg(scalar.mean3(C("uncertainty")).alias("mean"), F.max("uncertainty").alias("most"), F.count_if(C("uncertainty") > 0.3).alias("uncertain"), F.count("*").alias("n"))
 
 
 @named
@@ -528,18 +530,20 @@ def p17_prohibited_terms(spark, d):
 
 @named
 def api_map_data(spark, d):
-    """Features of the map: one JSON text per cluster of medium or high risk."""
-    x = m.assessed(spark, d).where("risk_level <> 'LOW'")
-    point = F.struct(F.lit("Point").alias("type"), F.array(F.rint(C("longitude") * 1000).cast("long"), F.rint(C("latitude") * 1000).cast("long")).alias("coordinates"))
-    return x.select("cluster_id", F.to_json(F.struct(F.lit("Feature").alias("type"), point.alias("geometry"), F.struct("cluster_id", "risk_level").alias("properties"))).alias("feature"))
+    """Features of the map: one JSON text per cluster, with its position in degrees."""
+    degrees = lambda c: scalar.rounded(C(c), 5).cast("decimal(9,5)")
+    point = F.struct(F.lit("Point").alias("type"), F.array(degrees("longitude"), degrees("latitude")).alias("coordinates"))
+    properties = F.struct("cluster_id", C("risk_score").cast("decimal(6,2)").alias("risk_score"), "risk_level", "abnormality_level", "false_alarm_indicator", "classification_label", "movement_status")
+    return m.master(spark, d).select("cluster_id", F.to_json(F.struct(F.lit("Feature").alias("type"), point.alias("geometry"), properties.alias("properties"))).alias("feature"))
 
 
 @named
 def u5_factor_union(spark, d):
-    """Two lists of factors joined, each factor once."""
+    """Two lists of factors joined, each factor once, however it is capitalised; the first way of writing it stays."""
     x = m.assessed(spark, d)
-    both = F.array_distinct(F.concat(F.split("contributing_factors", ","), F.split("persistence_category", ",")))
-    return rules.explained(x).select("cluster_id", F.array_join(both, ";").alias("factors"))
+    both = F.concat(F.split("contributing_factors", ","), F.split("persistence_category", ","))
+    low = F.transform(both, lambda f: F.lower(f))
+    return rules.explained(x).select("cluster_id", F.array_join(F.filter(both, lambda f, i: F.array_position(low, F.lower(f)) == i + 1), ";").alias("factors"))
 
 
 @named

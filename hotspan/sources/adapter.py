@@ -42,7 +42,7 @@ def dirty_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
         "case when detection_id % 101 = 0 then null else cast(longitude as string) end as longitude",
         "cast(acq_date as string) as acq_date", "cast(cast(acq_time as int) as string) as acq_time",
         "cast(bright_ti4 as string) as bright_ti4", "cast(frp as string) as frp",
-        "concat(' ', upper(confidence)) as confidence", "satellite", "concat('firms_', case satellite when 'NOAA-20' then 'noaa20' else 'noaa21' end, '.csv') as source_file",
+        "concat(' ', upper(confidence)) as confidence", "satellite", "case when detection_id % 3 = 0 then 'VIIRS' else 'MODIS' end as instrument", "concat('firms_', case satellite when 'NOAA-20' then 'noaa20' else 'noaa21' end, '.csv') as source_file",
     )
     again = text.where("detection_id % 50 = 0").withColumn("row_pos", F.col("row_pos") + 100000000)
     return text.unionByName(again)

@@ -250,3 +250,28 @@ def test_stream_drops_repeats_across_batches(spark, tmp_path):
     go()
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sorted(r.latitude for r in rows) == [20.0, 21.0] and {r.source_satellite for r in rows} == {"NOAA-20"} and sum(seen) == 2
+
+
+def test_repeats_are_told_by_the_instrument_and_not_by_the_confidence(spark):
+    row = ("10.0", "80.0", "2024-01-05", "930", "N", "NOAA-20", "VIIRS", "a.csv", 1)
+    rows = [row, (*row[:4], "H", *row[5:8], 2), (*row[:6], "MODIS", "a.csv", 3)]
+    raw = spark.createDataFrame(rows, "latitude string, longitude string, acq_date string, acq_time string, confidence string, satellite string, instrument string, source_file string, row_pos long")
+    assert sorted(r.row_pos for r in cleaning.clean(raw).collect()) == [1, 3]
+    report = cleaning.cleaning_report(raw).first()
+    assert (report.kept_rows, report.repeats_removed) == (2, 1)
+    # a feed without the column: the rest tells
+    assert sorted(r.row_pos for r in cleaning.clean(raw.drop("instrument")).collect()) == [1]
+
+
+@pytest.mark.parametrize(("days", "early"), [(1, 1), (2, 2), (3, 2), (4, 3)])
+def test_nearest_takes_the_earlier_value_up_to_the_middle_day(spark, days, early):
+    series = spark.sql(f"select 1L as cluster_id, date'2024-01-01' as day, 1.0D as value union all select 1L, date_add(date'2024-01-01', {days + 1}), 9.0D")
+    got = [r.value for r in context.interpolated(series, "nearest", most=9).orderBy("day").collect()]
+    assert got == [1.0] * early + [9.0] * (days - early)
+
+
+def test_noise_of_features_counts_in_the_uncertainty(spark):
+    x = spark.sql("select 0.9D as classification_score, 5 as observation_count, 0.0D as cloud, 1.0D as completeness, 'LOW' as risk_level, 'LOW' as false_alarm_indicator, 10.0D as risk_score, 4.0D as f, cast(null as double) as g, double('nan') as h, 1.0D as i")
+    base = 0.1 * 0.3
+    for features, noise in (((), 0.5), (("i",), 0.0), (("f", "i"), 0.15), (("f", "g", "h", "i"), 0.3 / 4 + 0.7 / 2)):
+        assert context.uncertainty(x, features).first().uncertainty == pytest.approx(base + 0.2 * noise, abs=1e-6)
