@@ -41,6 +41,11 @@ def matrix(column: pa.Array | pd.Series, dim: int) -> np.ndarray:
     return np.array(column.to_pylist() if isinstance(column, pa.Array) else list(column), dtype=np.float64).reshape(-1, dim)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows divided by the power of two at their largest component: no square over- or underflows, and no digit changes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1]) if len(x) else x
+
+
 def adaptive_scan(q: np.ndarray, x: np.ndarray, k: int, columns: int = 16, doubt: float = 2.1) -> list[np.ndarray]:
     """For each query the positions in x that may be among its k nearest.
 
@@ -83,7 +88,7 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, lists: int = 64, pro
     dim, rows = dim[0]
     v = v.where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v"))
     sample = v.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()  # bounded by SAMPLE
-    unit = matrix(sample.v, dim)
+    unit = scaled(matrix(sample.v, dim))
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
     turn = rotation(dim)
     lists = max(1, min(lists, len(unit) // 40))
@@ -93,8 +98,8 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, lists: int = 64, pro
         for b in batches:
             if not b.num_rows:
                 continue
-            x = matrix(b.column("v"), dim)
-            x = x / np.linalg.norm(x / np.abs(x).max(1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(1, keepdims=True)
+            x = scaled(matrix(b.column("v"), dim))
+            x = x / np.linalg.norm(x, axis=1, keepdims=True)
             turned = x @ turn
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(list(turned.astype(np.float32))), pa.array((turned @ centres.T).argmax(1).astype(np.int32))], names=["id", "v", "r", "cell"])
 
@@ -129,9 +134,9 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, lists: int = 64, pro
     def scan(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if left.num_rows and right.num_rows:
-            ids, x = np.array(right.column("id")), matrix(right.column("v").combine_chunks(), dim)
+            ids, x = np.array(right.column("id")), scaled(matrix(right.column("v").combine_chunks(), dim))
             norms = np.linalg.norm(x, axis=1)
-            qid, q = np.array(left.column("id")), matrix(left.column("v").combine_chunks(), dim)
+            qid, q = np.array(left.column("id")), scaled(matrix(left.column("v").combine_chunks(), dim))
             alive = adaptive_scan(matrix(left.column("r").combine_chunks(), dim), matrix(right.column("r").combine_chunks(), dim), k + 1)
             for i, some in enumerate(alive):
                 some = some[ids[some] != qid[i]]

@@ -266,6 +266,23 @@ def test_neighbours(stored, spark):
 # --- packing -----------------------------------------------------------------------------------------------------------
 
 
+def test_neighbours_of_very_large_and_very_small_vectors(stored):
+    rnd = np.random.default_rng(3)
+    base = rnd.standard_normal((60, 8))
+    size = [1.0, 1e160, 1e-170, 1e300]
+    rows = [(i, (base[i] * size[i % 4]).tolist()) for i in range(60)]
+    got = defaultdict(list)
+    for r in ann.search(stored(rows, "vec_id long, embedding array<double>"), every=10).collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    unit = base / np.linalg.norm(base, axis=1, keepdims=True)
+    for q in range(0, 60, 10):
+        cos = unit @ unit[q]
+        cos[q] = -2
+        want = np.argsort(-cos)[:5]
+        assert [v for _, v, _ in sorted(got[q])] == want.tolist()
+        assert np.allclose([s for *_, s in sorted(got[q])], cos[want])
+
+
 def test_ids_are_those_of_the_tokenizer():
     from tokenizers import Tokenizer
 
