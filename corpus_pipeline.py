@@ -63,8 +63,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("benchmark decontamination", benchmark_stage),
     ("best-fit packing", packing_stage),
 ]
-#: SQL cannot express the classifier, SimHash and the tokenizer. The tests hold each stage's operator against plain
-#: Python; run() as a whole has no such test yet.
+#: SQL cannot express the classifier, SimHash and the tokenizer; tests/llm/test_pipeline.py holds run() against plain
+#: Python, stage by stage.
 ORACLE_SQL = None
 
 

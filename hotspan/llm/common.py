@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import checkpoint, components, shared_folder
+
+__all__ = ["checkpoint", "components", "held_out", "shared_folder", "stored", "table"]
+
 #: Rows and bytes of one Arrow batch: bounds what a Python worker holds, however long the texts are.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
@@ -24,48 +27,8 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one where it is unset, which only a local master may have."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if folder is None and not sc.master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
-    return sc.getCheckpointDir()
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def stored(df: DataFrame) -> DataFrame:
     """`df` written as Parquet to the shared folder and read again: cuts lineage and is compressed, unlike a checkpoint."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Connected components of an undirected edge table: (node, component), component being the smallest node reached.
-
-    Every round takes the least label among a node's neighbours, then the label of that label, so that long chains
-    shorten by half. Minima are pre-aggregated before they are shuffled; nothing but one sum reaches the driver.
-    Only nodes that have an edge are returned; null ends are left out.
-    """
-    e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).dropna()
-    e = checkpoint(e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = checkpoint(e.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
-    before = None
-    while True:
-        now = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
-        if now == before or now is None:
-            return labels.select("node", F.col("label").alias("component"))
-        before = now
-        near = e.join(labels, e.b == labels.node).groupBy("a").agg(F.min("label").alias("m"))
-        step = labels.join(near, labels.node == near.a).select("node", F.least("label", "m").alias("label"))
-        step = checkpoint(step)
-        up = step.select(F.col("node").alias("up"), F.col("label").alias("top"))
-        labels = checkpoint(step.join(up, step.label == up.up, "left").select("node", F.least("label", "top").alias("label")))
