@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, langid, linededup, packing, quality, simhash, suffixes, toxicity, url_filter
+from . import ann, conversations, decontaminate, html, langid, linededup, packing, periodic, quality, simhash, suffixes, toxicity, url_filter
 from .common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -58,9 +58,22 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.digests(table(spark, sf_dir, "conversations"))
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_url_filter, op3_repeats, op4_language, op5_decontaminate, op6_toxicity, op7_nearest, op8_pack, op9_line_dedup, op10_simhash)}
+    made = (op1_quality, op2_url_filter, op3_repeats, op4_language, op5_decontaminate, op6_toxicity, op7_nearest, op8_pack, op9_line_dedup, op10_simhash, op11_conversations, op12_periodic, op13_html)
+    return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": url_filter.oracle(), "op5_decontaminate": decontaminate.oracle()}
+    return {"op2_url_filter": url_filter.oracle(), "op5_decontaminate": decontaminate.oracle(), "op11_conversations": conversations.oracle()}
