@@ -1,12 +1,9 @@
-"""Keyed state over runs: alert snapshots with their history, and stable identities of events."""
+"""Keyed state over runs: alert snapshots with their history."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-from ..functions.scalar import event_key
 
 C = F.col
 
@@ -42,46 +39,3 @@ def moved(snapshot: DataFrame, ids: DataFrame, to: str) -> DataFrame:
     may = C("hit") & (C("status") == "ACTIVE" if to == "ACKNOWLEDGED" else C("status") != "RESOLVED")
     out = hit.withColumn("status", F.when(F.coalesce(may, F.lit(False)), to).otherwise(C("status")))
     return out.withColumn("resolved_severity", F.when(C("status") == "RESOLVED", F.coalesce("resolved_severity", "severity"))).drop("hit")
-
-
-def anchors(detections: DataFrame) -> DataFrame:
-    """(cluster_id, event_key, centroid, count): the key of a cluster's first observation by date and place."""
-    first = F.min(F.struct("acq_date", "latitude", "longitude", "detection_id", "satellite")).alias("f")
-    mean = lambda c: (F.sum(F.rint(C(c) * 1e6).cast("long")) / F.count("*") / F.lit(1e6)).alias(c)
-    c = detections.groupBy("cluster_id").agg(first, mean("latitude"), mean("longitude"), F.count("*").alias("observation_count"), F.max("acq_date").alias("last_seen"))
-    return c.select("cluster_id", event_key(C("f.satellite"), C("f.latitude"), C("f.longitude")).alias("event_key"), "latitude", "longitude", "observation_count", "last_seen")
-
-
-def identified(fresh: DataFrame, registry: DataFrame, as_of, km: float = 1.5, expire_days: int = 14) -> DataFrame:
-    """Stable ids for `fresh` clusters: (cluster_id, stable_id, identity_status).
-
-    A registry entry (stable_id, latitude, longitude, last_seen) seen in the last `expire_days` hands its id on to the
-    nearest fresh cluster within `km`, if that cluster has no nearer entry: mutual nearest pairs are matched round by
-    round until none is left. The rest get new ids above the largest ever issued, largest clusters first.
-    """
-    from .graph import checkpoint
-    from .spatial import within_radius
-
-    live = registry.where(F.date_diff(F.lit(as_of).cast("date"), "last_seen") <= expire_days)
-    places = live.select(C("stable_id").alias("entry_id"), C("latitude").alias("entry_lat"), C("longitude").alias("entry_lon"))
-    open_pairs = checkpoint(within_radius(fresh.select("cluster_id", "latitude", "longitude"), places, "cluster_id", "entry", km, strict=False).select("cluster_id", "entry_id", "km"))
-    matched = None
-    while True:
-        by = F.min(F.struct("km", "entry_id", "cluster_id"))
-        a = open_pairs.groupBy("cluster_id").agg(by.alias("m")).select("m.*")
-        b = open_pairs.groupBy("entry_id").agg(by.alias("m")).select("m.*")
-        new = checkpoint(a.join(b, ["cluster_id", "entry_id"], "left_semi").select("cluster_id", "entry_id"))
-        if new.isEmpty():
-            break
-        matched = new if matched is None else matched.union(new)
-        open_pairs = checkpoint(open_pairs.join(new, "cluster_id", "left_anti").join(new, "entry_id", "left_anti"))
-    out = fresh.select("cluster_id", "observation_count")
-    out = out.join(matched, "cluster_id", "left") if matched is not None else out.withColumn("entry_id", F.lit(None).cast("long"))
-    top = registry.agg(F.coalesce(F.max("stable_id"), F.lit(0)).alias("top"))
-    fresh_ids = out.where("entry_id is null").select("cluster_id", "observation_count")
-    # ranks over range-partitioned rows: counts per range are added up instead of sorting all rows in one task
-    ordered = checkpoint(fresh_ids.repartitionByRange(8, F.desc("observation_count"), "cluster_id").sortWithinPartitions(F.desc("observation_count"), "cluster_id").withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id() % (1 << 33)))
-    before = ordered.groupBy("part").count().select("part", (F.sum("count").over(Window.orderBy("part")) - C("count")).alias("before"))
-    new_ids = ordered.join(F.broadcast(before), "part").join(F.broadcast(top)).select("cluster_id", (C("top") + C("before") + C("at") + 1).alias("new_id"))
-    return out.join(new_ids, "cluster_id", "left").select("cluster_id", F.coalesce("entry_id", "new_id").alias("stable_id"), F.when(C("entry_id").isNotNull(), "MATCHED").otherwise("NEW").alias("identity_status"))
-

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalar
-from ..operators import anomaly, cleaning, context, features, lifecycle, rules, spatial
+from ..operators import anomaly, cleaning, context, features, identity, lifecycle, rules, spatial
 from ..sources import adapter
 from . import master as m
 
@@ -259,7 +259,7 @@ def d24_fire_weather(spark, d):
 
 @named
 def d28_event_keys(spark, d):
-    return lifecycle.anchors(m.clustered(spark, d)).select("cluster_id", "event_key", "observation_count", "last_seen")
+    return identity.summaries(m.clustered(spark, d)).select("cluster_id", "event_key", "observation_count", "last_seen")
 
 
 @named
@@ -596,14 +596,5 @@ def d30_transitions(spark, d):
     return lifecycle.moved(old, old.where("cluster_id % 4 = 0"), "ACKNOWLEDGED")
 
 
-@named
-def d29_identities(spark, d):
-    """Stable ids of the last days' clusters, handed on from the first days' by nearness."""
-    x = m.clustered(spark, d)
-    old = lifecycle.anchors(x.where("acq_date < date'2024-01-16'")).select(C("cluster_id").alias("stable_id"), "latitude", "longitude", "last_seen")
-    fresh = lifecycle.anchors(x.where("acq_date >= date'2024-01-16'"))
-    return lifecycle.identified(fresh, old, "2024-01-16")
-
-
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)

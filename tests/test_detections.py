@@ -165,15 +165,6 @@ def test_alert_lifecycle(spark):
     assert {r.cluster_id: r.status for r in lifecycle.moved(snapshot, ids, "ACKNOWLEDGED").collect()} == {1: "ACKNOWLEDGED", 2: "ACKNOWLEDGED", 4: "ACTIVE", 5: "RESOLVED"}
 
 
-def test_identities(spark):
-    schema = "stable_id long, latitude double, longitude double, last_seen date"
-    day = dt.date(2024, 1, 10)
-    registry = spark.createDataFrame([(7, 20.0, 75.0, day), (8, 20.005, 75.0, day), (9, 30.0, 75.0, dt.date(2023, 1, 1))], schema)
-    fresh = spark.createDataFrame([(100, 20.001, 75.0, 3), (101, 20.006, 75.0, 2), (102, 30.0, 75.0, 9), (103, 10.0, 75.0, 1)], "cluster_id long, latitude double, longitude double, observation_count long")
-    got = {r.cluster_id: (r.stable_id, r.identity_status) for r in lifecycle.identified(fresh, registry, "2024-01-12").collect()}
-    assert got == {100: (7, "MATCHED"), 101: (8, "MATCHED"), 102: (10, "NEW"), 103: (11, "NEW")}
-
-
 def test_gaps(spark):
     rows = [(1, dt.date(2024, 1, 1), 10.0), (1, dt.date(2024, 1, 3), 20.0), (1, dt.date(2024, 1, 9), 0.0)]
     series = spark.createDataFrame(rows, "cluster_id long, day date, value double")
