@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import checkpoint
+from .quantiles import exact
 
 FEATURES = ("max_bright_ti4", "bt_diff_max", "mean_frp", "max_frp", "observation_count", "active_days", "duration_days", "detection_density", "mean_confidence", "frp_mean_to_max_ratio")
 TREES, SAMPLE, SEED, SHARE = 100, 256, 42, 0.05
@@ -18,9 +20,13 @@ Tree = list[tuple[int, float, int, int, int]]
 
 def scales(df: DataFrame, columns: Sequence[str] = FEATURES) -> dict[str, tuple[float, float]]:
     """(median, interquartile range) of each feature, exactly; an empty range counts as 1, a column without values as (0, 1)."""
-    finite = [F.when(~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) < float("inf")), F.col(c).cast("double")).alias(c) for c in columns]
-    row = df.select(*finite).agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in columns]).first()
-    return {c: (row[c][1], (row[c][2] - row[c][0]) or 1.0) if row[c] else (0.0, 1.0) for c in columns}
+    found = exact(df, columns, (0.25, 0.5, 0.75))
+    return {c: (mid, (high - low) or 1.0) if mid is not None else (0.0, 1.0) for c, (low, mid, high) in found.items()}
+
+
+def standardised(df: DataFrame, by: dict[str, tuple[float, float]]) -> DataFrame:
+    """`df` with a column `std_<name>` for each feature in `by`: its distance from the median in interquartile ranges; missing values stay so."""
+    return df.withColumns({f"std_{c}": (F.col(c).cast("double") - F.lit(m)) / F.lit(r) for c, (m, r) in by.items()})
 
 
 def scaled(df: DataFrame, by: dict[str, tuple[float, float]]) -> DataFrame:
@@ -79,25 +85,46 @@ def outlyingness(x: np.ndarray, trees: list[Tree]) -> np.ndarray:
     return 2.0 ** (-total / max(1, len(trees)) / max(base, 1e-9))
 
 
-def scored(df: DataFrame, share: float = SHARE, key: str = "cluster_id", most: int = 20_000) -> DataFrame:
-    """`df` with anomaly_score (higher is odder), anomaly_flag and abnormality_level.
+@dataclass(frozen=True)
+class Model:
+    """Scales of the features, the trees, and the outlyingness that is the threshold."""
 
-    The forest grows on at most `most` rows, the first by hash of the key; its threshold leaves `share` of
-    all rows above it, and the score is the distance to that threshold. Over it a row is HIGH, less than 0.05 under it ELEVATED.
-    """
-    by = scales(df)
-    with_x = scaled(df, by)
-    rows = with_x.select(key, "x").orderBy(F.xxhash64(key), key).limit(most).toPandas()  # bounded by `most`
-    x = np.array(rows.x.tolist(), float).reshape(-1, len(FEATURES))
-    trees = forest(x)
+    by: dict[str, tuple[float, float]]
+    trees: list[Tree]
+    cut: float
+
+
+def outlying(df: DataFrame, by: dict[str, tuple[float, float]], trees: list[Tree]) -> DataFrame:
+    """`df` with `odd`, its rows' outlyingness."""
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
-            yield pd.Series(outlyingness(np.array(b.tolist(), float).reshape(-1, len(FEATURES)), trees))
+            yield pd.Series(outlyingness(np.array(b.tolist(), float).reshape(-1, len(by)), trees))
+
+    return scaled(df, by).withColumn("odd", score("x")).drop("x")
+
 
-    found = checkpoint(with_x.withColumn("odd", score("x")).drop("x"))
-    cut = found.agg(F.percentile("odd", F.lit(1 - share))).first()[0]
-    out = found.withColumn("raw", F.col("odd") - F.lit(0.5 if cut is None else cut)).drop("odd", "anomaly_score", "anomaly_flag", "abnormality_level")
+def fitted(df: DataFrame, share: float = SHARE, key: str = "cluster_id", most: int = 20_000) -> Model:
+    """A forest of at most `most` rows, the first by hash of the key, whose threshold leaves `share` of all rows above it."""
+    by = scales(df)
+    rows = scaled(df, by).select(key, "x").orderBy(F.xxhash64(key), key).limit(most).toPandas()  # bounded by `most`
+    trees = forest(np.array(rows.x.tolist(), float).reshape(-1, len(FEATURES)))
+    cut = exact(outlying(df, by, trees), ["odd"], [1 - share])["odd"][0]
+    return Model(by, trees, 0.5 if cut is None else cut)
+
+
+def scored(df: DataFrame, share: float = SHARE, key: str = "cluster_id", most: int = 20_000) -> DataFrame:
+    """`df` judged by the forest that is fitted to it."""
+    return judged(df, fitted(df, share, key, most))
+
+
+def judged(df: DataFrame, model: Model) -> DataFrame:
+    """`df` with anomaly_score (higher is odder), anomaly_flag and abnormality_level.
+
+    The score is the distance to the model's threshold. Over it a row is HIGH, less than 0.05 under it ELEVATED.
+    """
+    found = checkpoint(outlying(df, model.by, model.trees))
+    out = found.withColumn("raw", F.col("odd") - F.lit(model.cut)).drop("odd", "anomaly_score", "anomaly_flag", "abnormality_level")
     level = F.when(F.col("raw") > 0, "HIGH").when(F.col("raw") > -0.05, "ELEVATED").otherwise("NORMAL")
     return out.withColumns({"abnormality_level": level, "anomaly_flag": (F.col("raw") > 0).cast("int"), "anomaly_score": F.rint(F.col("raw") * 1e4) / 1e4}).drop("raw")

@@ -69,6 +69,13 @@ def missing_summary(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     return one.unpivot([], list(columns), "column", "missing")
 
 
+def range_chunks(days: DataFrame, size: int) -> DataFrame:
+    """(chunk_start, chunk_days): the range of the days in column `acq_date`, cut into pieces of at most `size`; no rows without a day."""
+    ends = days.agg(F.min("acq_date").alias("a"), F.max("acq_date").alias("z")).where("a is not null")
+    one = ends.select("z", F.explode(F.expr(f"sequence(a, z, interval {int(size)} days)")).alias("chunk_start"))
+    return one.select("chunk_start", F.least(F.lit(int(size)), F.date_diff("z", "chunk_start") + 1).alias("chunk_days"))
+
+
 def date_chunks(spark, start: str, end: str, days: int) -> DataFrame:
     """(chunk_start, chunk_days): a range of dates, ends included, cut into pieces of at most `days`."""
     if start > end:

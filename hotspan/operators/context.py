@@ -18,6 +18,11 @@ SEASONS = (
     ("western_india", 22, 30, 68, 75, (5, 6), (3, 4, 5)),
     ("northeast_india", 22, 29, 89, 98, (2, 3), (1, 2, 3, 4)),
 )
+#: What a seasonal report recommends, and the cover from which a day counts as cloudy.
+NO_SEASON = "No regional season data available"
+FARM_ADVICE = "High detection count during agricultural burning season - expect increased agricultural fire classifications"
+FOREST_ADVICE = "Active fire detections during forest fire season - monitor for potential wildfire escalation"
+HIGH_CLOUD = 70
 #: How much of the infrared signal passes a kind of cloud.
 PENETRATION = {"clear": 1.0, "cirrus": 0.7, "cumulus": 0.5, "stratus": 0.2, "cumulonimbus": 0.1, "unknown": 0.5}
 
@@ -36,6 +41,44 @@ def with_season(df: DataFrame, day: str = "first_detection") -> DataFrame:
     return df.withColumns({"season_region": first(*[(box(s), s[0]) for s in SEASONS]), "farm_season": first(*[(box(s), month.isin(*s[5])) for s in SEASONS]), "forest_season": first(*[(box(s), month.isin(*s[6])) for s in SEASONS])})
 
 
+def seasonal_report(detections: DataFrame) -> DataFrame:
+    """Per region and month: detections, the region's seasons of that month, its detections in all and its recommendations.
+
+    A region has `many_in_farm_season` where some month of farm burning has over 5 detections, and `any_in_forest_season`
+    where some month of forest fires has one. Detections outside all regions are one row of region `Unknown` without a
+    month; those without a day count in no month.
+    """
+    x = with_season(detections, "acq_date").withColumn("month", F.when(C("season_region").isNotNull(), F.month("acq_date")))
+    monthly = x.groupBy(F.coalesce("season_region", F.lit("Unknown")).alias("region"), "month").agg(F.count("*").alias("detection_count"), F.first("farm_season").alias("is_agricultural_burning_season"), F.first("forest_season").alias("is_forest_fire_season"))
+    region = Window.partitionBy("region")  # thirteen rows at most
+    n, farm, forest = C("detection_count"), C("is_agricultural_burning_season"), C("is_forest_fire_season")
+    many = F.coalesce(F.max(farm & (n > 5)).over(region), F.lit(False))
+    some = F.coalesce(F.max(forest & (n > 0)).over(region), F.lit(False))
+    out = monthly.withColumns({"total_detections": F.sum(n).over(region), "many_in_farm_season": many, "any_in_forest_season": some})
+    told = F.when(C("region") == "Unknown", NO_SEASON).otherwise(F.concat_ws(" | ", F.when(C("many_in_farm_season"), FARM_ADVICE), F.when(C("any_in_forest_season"), FOREST_ADVICE)))
+    return out.where("month is not null or region = 'Unknown'").withColumn("recommendations", told)
+
+
+def cloud_days(days: DataFrame, clouds: DataFrame) -> DataFrame:
+    """Per day of `clouds` (acq_date, cloud_cover): whether `days` (acq_date) has it, and whether clouds over 70 per cent likely hide it."""
+    seen = days.select("acq_date").distinct().withColumn("has_detection", F.lit(True))
+    out = clouds.select("acq_date", F.coalesce("cloud_cover", F.lit(50.0)).alias("cloud_cover")).join(seen, "acq_date", "left").withColumn("has_detection", F.coalesce("has_detection", F.lit(False)))
+    return out.withColumn("cloud_obscuration_likely", (C("cloud_cover") > HIGH_CLOUD) & ~C("has_detection"))
+
+
+def cloud_correlation(detections: DataFrame, clouds: DataFrame, key: str = "cluster_id") -> DataFrame:
+    """Per `key`: days of `clouds` in all, days with detections, days of high (over 70 per cent) and of low cloud, and days of high cloud without a detection.
+
+    The days of high cloud are counted once; only those that a key has detections on are joined, never all days of all keys.
+    """
+    known = clouds.select("acq_date", (F.coalesce("cloud_cover", F.lit(50.0)) > HIGH_CLOUD).alias("high"))
+    every = known.agg(F.count("*").alias("total_days_analyzed"), F.count_if("high").alias("high_cloud_days"))
+    days = detections.select(key, "acq_date").distinct().join(known, "acq_date", "left")
+    met = days.groupBy(key).agg(F.count("acq_date").alias("days_with_detections"), F.count_if("high").alias("seen"))
+    x = met.join(F.broadcast(every))  # one row
+    return x.select(key, "total_days_analyzed", "days_with_detections", "high_cloud_days", (C("total_days_analyzed") - C("high_cloud_days")).alias("low_cloud_days"), (C("high_cloud_days") - C("seen")).alias("potential_cloud_obscured_days"))
+
+
 def seasonal(df: DataFrame) -> DataFrame:
     """Class and score adjusted by season, and a modifier of the risk; unchanged outside all regions."""
     out = with_season(df)
@@ -132,7 +175,7 @@ def feature_noise(features: tuple[str, ...]) -> Column:
 
 
 def uncertainty(df: DataFrame, features: tuple[str, ...] = ()) -> DataFrame:
-    """Uncertainty of class and risk with intervals and whether a person should look; `features` are standardised columns.
+    """Uncertainty of class and risk with intervals and whether a person should look; `features` are standardised columns (`anomaly.standardised`).
 
     Needs classification_score, observation_count, completeness (share of days seen), cloud (share 0 to 1), risk and false-alarm columns.
     """

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import context, features, rules, spatial
+from ..operators import anomaly, context, features, rules, spatial
 from ..operators.graph import checkpoint
 from ..sources import adapter
 
@@ -34,23 +34,27 @@ def levelled(df: DataFrame) -> DataFrame:
     return df.withColumn("abnormality_level", F.when(both == 2, "HIGH").when(both == 1, "ELEVATED").otherwise("NORMAL"))
 
 
-def featured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return levelled(features.derived(features.summaries(clustered(spark, sf_dir))))
+#: What gives clusters their abnormality level: the forest that is fitted to all of them, or fixed thresholds.
+LEVELS: dict[str, Callable[[DataFrame], DataFrame]] = {"forest": anomaly.scored, "thresholds": levelled}
 
 
-def assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def featured(spark: SparkSession, sf_dir: str, levels: str = "thresholds") -> DataFrame:
+    return LEVELS[levels](features.derived(features.summaries(clustered(spark, sf_dir))))
+
+
+def assessed(spark: SparkSession, sf_dir: str, levels: str = "thresholds") -> DataFrame:
     """Features with explanation, false-alarm concern and risk."""
-    return rules.risk(rules.false_alarm(rules.explained(featured(spark, sf_dir))))
+    return rules.risk(rules.false_alarm(rules.explained(featured(spark, sf_dir, levels))))
 
 
-def master(spark: SparkSession, sf_dir: str) -> DataFrame:
+def master(spark: SparkSession, sf_dir: str, levels: str = "thresholds") -> DataFrame:
     """The wide table; see `widened`."""
-    return kept("master", spark, sf_dir, lambda: widened(spark, sf_dir))
+    return kept(f"master {levels}", spark, sf_dir, lambda: widened(spark, sf_dir, levels))
 
 
-def widened(spark: SparkSession, sf_dir: str) -> DataFrame:
+def widened(spark: SparkSession, sf_dir: str, levels: str = "thresholds") -> DataFrame:
     """One row per cluster with everything known about it; side tables are joined on cluster_id, the first writer of a column wins."""
-    base = assessed(spark, sf_dir)
+    base = assessed(spark, sf_dir, levels)
     move = features.movement(clustered(spark, sf_dir))
     near = spatial.nearest(base, adapter.facilities(spark, sf_dir), "cluster_id", "facility", FACILITY_KM, strict=False).select("cluster_id", "facility_type", F.col("km").alias("facility_km"))
     post = spatial.nearest(base, adapter.stations(spark, sf_dir), "cluster_id", "station", STATION_KM).select("cluster_id", "station_id", "station_name", F.col("km").alias("station_km"))
@@ -61,8 +65,8 @@ def widened(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.classified(out.withColumn("land_cover", land))
 
 
-def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kept("alerts", spark, sf_dir, lambda: rules.thermal_alerts(master(spark, sf_dir)))
+def alerts(spark: SparkSession, sf_dir: str, levels: str = "thresholds") -> DataFrame:
+    return kept(f"alerts {levels}", spark, sf_dir, lambda: rules.thermal_alerts(master(spark, sf_dir, levels)))
 
 
 def seasonal(spark: SparkSession, sf_dir: str) -> DataFrame:

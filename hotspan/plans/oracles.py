@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..operators.context import FARM_ADVICE, FOREST_ADVICE, NO_SEASON
 from ..sources.adapter import BOUNDARY
 
 S3, S7 = "1000.0::DOUBLE", "1e6::DOUBLE"
@@ -145,8 +146,8 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
         CASE WHEN suppressed THEN 'Suppressed for monitoring (high false-alarm concern, weak evidence)' END, CASE WHEN capped THEN 'Downgraded: high false-alarm concern caps severity at MEDIUM' END], lambda x: x IS NOT NULL) AS list FROM t2"""),
     "alerts": (("t3",), """SELECT * EXCLUDE (list), CASE WHEN len(list) > 0 THEN array_to_string(list, '; ') ELSE 'Routine thermal baseline / informational monitoring' END AS reasons, 'TAL-' || CASE WHEN length(cluster_id::VARCHAR) < 5 THEN lpad(cluster_id::VARCHAR, 5, '0') ELSE cluster_id::VARCHAR END AS alert_id, 'ACTIVE' AS status FROM t3"""),
     "season": (("master",), "SELECT *, CASE " + " ".join(f"WHEN {BOX.format(*s)} THEN '{s[0]}'" for s in SEASON) + " END AS season_region, CASE " + " ".join(f"WHEN {BOX.format(*s)} THEN month(first_detection) IN ({s[5]})" for s in SEASON) + " END AS farm, CASE " + " ".join(f"WHEN {BOX.format(*s)} THEN month(first_detection) IN ({s[6]})" for s in SEASON) + " END AS wood FROM master"),
-    "unc0": (("master",), f"""SELECT *, {rnd("least(1.0::DOUBLE, greatest(0.0::DOUBLE, (CASE WHEN cloud > 0.5 THEN (cloud - 0.5::DOUBLE) * 0.8::DOUBLE ELSE 0.0 END + CASE WHEN observation_count < 3 THEN (3 - observation_count) * 0.15::DOUBLE ELSE 0.0 END) * 0.3::DOUBLE + (1.0::DOUBLE - classification_score) * 0.3::DOUBLE + ((coalesce((abs(bt_diff_mean) > 3)::INT, 0) + coalesce((abs(bt_diff_max) > 3)::INT, 0) + coalesce((abs(frp_mean_to_max_ratio) > 3)::INT, 0) + coalesce((abs(detection_density) > 3)::INT, 0) + coalesce((abs(active_day_ratio) > 3)::INT, 0))::DOUBLE / 5.0::DOUBLE * 0.3::DOUBLE + ((bt_diff_mean IS NULL)::INT + (bt_diff_max IS NULL)::INT + (frp_mean_to_max_ratio IS NULL)::INT + (detection_density IS NULL)::INT + (active_day_ratio IS NULL)::INT)::DOUBLE / 5.0::DOUBLE * 0.7::DOUBLE) * 0.2::DOUBLE + (1.0::DOUBLE - active_day_ratio) * 0.2::DOUBLE))", 6)} AS u,
-        {rnd("least(1.0::DOUBLE, greatest(0.0::DOUBLE, CASE risk_level WHEN 'HIGH' THEN 0.2::DOUBLE WHEN 'MEDIUM' THEN 0.4 ELSE 0.3 END * 0.3::DOUBLE + CASE false_alarm_indicator WHEN 'HIGH' THEN 0.4::DOUBLE WHEN 'MEDIUM' THEN 0.2 ELSE 0.0 END * 0.3::DOUBLE + (CASE WHEN cloud > 0.5 THEN 0.3::DOUBLE ELSE 0.0 END + CASE WHEN observation_count < 3 THEN 0.2::DOUBLE ELSE 0.0 END) * 0.2::DOUBLE + (1.0::DOUBLE - classification_score) * 0.2::DOUBLE))", 6)} AS ru FROM (SELECT *, (cluster_id % 101) / 100.0::DOUBLE AS cloud FROM master)"""),
+    "unc0": (("master",), f"""SELECT *, {rnd("least(1.0::DOUBLE, greatest(0.0::DOUBLE, (CASE WHEN cloud > 0.5 THEN (cloud - 0.5::DOUBLE) * 0.8::DOUBLE ELSE 0.0 END + CASE WHEN observation_count < 3 THEN (3 - observation_count) * 0.15::DOUBLE ELSE 0.0 END) * 0.3::DOUBLE + (1.0::DOUBLE - classification_score) * 0.3::DOUBLE + ((coalesce((abs((bt_diff_mean - q_bt_diff_mean[2]) / coalesce(nullif(q_bt_diff_mean[3] - q_bt_diff_mean[1], 0), 1)) > 3)::INT, 0) + coalesce((abs((bt_diff_max - q_bt_diff_max[2]) / coalesce(nullif(q_bt_diff_max[3] - q_bt_diff_max[1], 0), 1)) > 3)::INT, 0) + coalesce((abs((frp_mean_to_max_ratio - q_frp_mean_to_max_ratio[2]) / coalesce(nullif(q_frp_mean_to_max_ratio[3] - q_frp_mean_to_max_ratio[1], 0), 1)) > 3)::INT, 0) + coalesce((abs((detection_density - q_detection_density[2]) / coalesce(nullif(q_detection_density[3] - q_detection_density[1], 0), 1)) > 3)::INT, 0) + coalesce((abs((active_day_ratio - q_active_day_ratio[2]) / coalesce(nullif(q_active_day_ratio[3] - q_active_day_ratio[1], 0), 1)) > 3)::INT, 0))::DOUBLE / 5.0::DOUBLE * 0.3::DOUBLE + ((bt_diff_mean IS NULL)::INT + (bt_diff_max IS NULL)::INT + (frp_mean_to_max_ratio IS NULL)::INT + (detection_density IS NULL)::INT + (active_day_ratio IS NULL)::INT)::DOUBLE / 5.0::DOUBLE * 0.7::DOUBLE) * 0.2::DOUBLE + (1.0::DOUBLE - active_day_ratio) * 0.2::DOUBLE))", 6)} AS u,
+        {rnd("least(1.0::DOUBLE, greatest(0.0::DOUBLE, CASE risk_level WHEN 'HIGH' THEN 0.2::DOUBLE WHEN 'MEDIUM' THEN 0.4 ELSE 0.3 END * 0.3::DOUBLE + CASE false_alarm_indicator WHEN 'HIGH' THEN 0.4::DOUBLE WHEN 'MEDIUM' THEN 0.2 ELSE 0.0 END * 0.3::DOUBLE + (CASE WHEN cloud > 0.5 THEN 0.3::DOUBLE ELSE 0.0 END + CASE WHEN observation_count < 3 THEN 0.2::DOUBLE ELSE 0.0 END) * 0.2::DOUBLE + (1.0::DOUBLE - classification_score) * 0.2::DOUBLE))", 6)} AS ru FROM (SELECT *, (cluster_id % 101) / 100.0::DOUBLE AS cloud FROM master), (SELECT quantile_cont(bt_diff_mean::DOUBLE, [0.25, 0.5, 0.75]) AS q_bt_diff_mean, quantile_cont(bt_diff_max::DOUBLE, [0.25, 0.5, 0.75]) AS q_bt_diff_max, quantile_cont(frp_mean_to_max_ratio::DOUBLE, [0.25, 0.5, 0.75]) AS q_frp_mean_to_max_ratio, quantile_cont(detection_density::DOUBLE, [0.25, 0.5, 0.75]) AS q_detection_density, quantile_cont(active_day_ratio::DOUBLE, [0.25, 0.5, 0.75]) AS q_active_day_ratio FROM master)"""),
     "series": (("cd",), "SELECT cluster_id, acq_date AS day, max(frp) AS value FROM cd GROUP BY ALL"),
     "gaps": (("series",), "SELECT *, datediff('day', day, nd) - 1 AS g FROM (SELECT *, lead(day) OVER w AS nd, lead(value) OVER w AS nv FROM series WINDOW w AS (PARTITION BY cluster_id ORDER BY day)) WHERE datediff('day', day, nd) > 1"),
     "fill": (("gaps",), "SELECT *, (day + (i + 1)::INT)::DATE AS d, (i + 1)::DOUBLE / (g + 1) AS t FROM (SELECT *, unnest(range(0, g)) AS i FROM gaps WHERE g <= 3)"),
@@ -178,6 +179,11 @@ def sql(select: str, *tables: str) -> str:
     return f"WITH RECURSIVE {body}\n{select}" if body else select
 
 
+def case(k: int) -> str:
+    """Of the region that holds a detection its name (0), or whether its day lies in the months listed at `k`."""
+    return "CASE " + " ".join(f"WHEN {BOX.format(*r)} THEN " + (f"'{r[0]}'" if k == 0 else f"month(acq_date) IN ({r[k]})") for r in SEASON) + " END"
+
+
 def any_of(col: str, values: str) -> str:
     return f"upper({col}) IN ({values})"
 
@@ -200,7 +206,7 @@ def oracle_sql() -> dict[str, str]:
     rank = "list_position(['LOW','MEDIUM','HIGH','CRITICAL'], severity)"
     return {
         "s3_satellite_labels": sql("SELECT CASE WHEN contains(source_file, 'noaa20') THEN 'NOAA-20' ELSE 'NOAA-21' END AS source_satellite, source_file, count(*) AS n FROM dirty GROUP BY ALL", "dirty"),
-        "s5_date_chunks": "SELECT d::DATE AS chunk_start, least(10, datediff('day', d::DATE, DATE '2024-02-03') + 1)::INT AS chunk_days FROM (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-02-03', INTERVAL 10 DAY)) AS d)",
+        "s5_date_chunks": sql("SELECT d::DATE AS chunk_start, least(10, datediff('day', d::DATE, z) + 1)::INT AS chunk_days FROM (SELECT unnest(generate_series(a, z, INTERVAL 10 DAY)) AS d, z FROM (SELECT min(acq_date) AS a, max(acq_date) AS z FROM det))", "det"),
         "s9_s12_nested_features": "SELECT (props->>'$.k')::INT AS k, count(*) AS n FROM events WHERE (props->>'$.k')::INT >= 90 GROUP BY 1",
         "p1_p2_typed": sql("SELECT row_pos, latitude, longitude, acq_time, strftime(date_trunc('minute', acquisition_datetime), '%Y-%m-%d %H:%M') AS stamp, confidence FROM dirty", "dirty"),
         "p3_valid_positions": sql("SELECT satellite, count(*) AS n FROM valid GROUP BY 1", "valid"),
@@ -251,8 +257,12 @@ def oracle_sql() -> dict[str, str]:
         "a10_alert_counts": sql("SELECT " + ", ".join(f"count_if(severity = '{s}')::BIGINT AS {s.lower()}" for s in (*LV, "CRITICAL")) + ", count_if(suppressed)::BIGINT AS suppressed, count_if(contains(classification_label, 'Industrial'))::BIGINT AS industrial, count_if(station_km IS NOT NULL)::BIGINT AS with_station FROM alerts", "alerts"),
         "a11_analytics": sql(f"SELECT persistence_category, count(*) AS n, {mean3('mean_frp')} AS avg_frp, max(max_frp) AS peak_frp, {mean3('(CASE WHEN movement_status = ' + chr(39) + 'MOVING' + chr(39) + ' THEN movement_rate_km_per_day END)')} AS avg_rate FROM master GROUP BY 1", "master"),
         "a13_uncertainty_rollup": sql(f"SELECT risk_level, {mean3('u')} AS mean, max(u) AS most, count_if(u > 0.3)::BIGINT AS uncertain, count(*) AS n FROM unc0 GROUP BY 1", "unc0"),
-        "a14_monthly": sql("SELECT month(acq_date)::INT AS month, count(*) AS n, bool_or(frp > 5) AS any_strong, bool_or(acq_time < '0600') AS any_early FROM det GROUP BY 1", "det"),
-        "a15_cloud_correlation": sql("SELECT count_if(c > 70)::BIGINT AS high_days, count_if(c < 30)::BIGINT AS low_days, sum(CASE WHEN c > 70 THEN n END)::BIGINT AS detections_under_cloud FROM (SELECT n, coalesce(cloud_cover, 50.0) AS c FROM (SELECT acq_date, count(*) AS n FROM det GROUP BY 1) LEFT JOIN clouds USING (acq_date))", "clouds"),
+        "a14_monthly": sql(f"""SELECT *, CASE WHEN region = 'Unknown' THEN '{NO_SEASON}' ELSE concat_ws(' | ', CASE WHEN many_in_farm_season THEN '{FARM_ADVICE}' END, CASE WHEN any_in_forest_season THEN '{FOREST_ADVICE}' END) END AS recommendations FROM (
+            SELECT region, month, n AS detection_count, farm AS is_agricultural_burning_season, wood AS is_forest_fire_season, sum(n) OVER (PARTITION BY region)::BIGINT AS total_detections,
+                coalesce(bool_or(farm AND n > 5) OVER (PARTITION BY region), FALSE) AS many_in_farm_season, coalesce(bool_or(wood AND n > 0) OVER (PARTITION BY region), FALSE) AS any_in_forest_season FROM (
+                SELECT coalesce(r, 'Unknown') AS region, CASE WHEN r IS NOT NULL THEN month(acq_date)::INT END AS month, count(*) AS n, any_value(farm) AS farm, any_value(wood) AS wood FROM (SELECT *, {case(0)} AS r, {case(5)} AS farm, {case(6)} AS wood FROM det) GROUP BY 1, 2))""", "det"),
+        "a15_cloud_correlation": sql("""SELECT cluster_id, (SELECT count(*) FROM clouds) AS total_days_analyzed, count(DISTINCT cd.acq_date) AS days_with_detections, (SELECT count(*) FROM clouds WHERE cloud_cover > 70) AS high_cloud_days, (SELECT count(*) FROM clouds WHERE cloud_cover <= 70) AS low_cloud_days,
+            (SELECT count(*) FROM clouds WHERE cloud_cover > 70) - count(DISTINCT CASE WHEN cloud_cover > 70 THEN cd.acq_date END) AS potential_cloud_obscured_days FROM cd LEFT JOIN clouds USING (acq_date) GROUP BY cluster_id""", "cd", "clouds"),
         "a16_daily_max": sql("SELECT * FROM series", "series"),
         "a17_quantiles": sql(f"SELECT {rnd('quantile_cont(max_frp, 0.5)', 6)} AS frp_median, {rnd('quantile_cont(max_frp, 0.25)', 6)} AS frp_q1, {rnd('quantile_cont(max_frp, 0.75)', 6)} AS frp_q3, {rnd('quantile_cont(max_bright_ti4, 0.5)', 6)} AS ti4_median FROM feat", "feat"),
         "a20_a21_max_and_distinct": sql("SELECT max(cluster_id) AS max_id, count(DISTINCT cluster_id) AS clusters FROM cd", "cd"),

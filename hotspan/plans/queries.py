@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalar
-from ..operators import anomaly, cleaning, context, features, identity, lifecycle, rules, spatial
+from ..operators import anomaly, cleaning, context, features, identity, lifecycle, quantiles, rules, spatial
 from ..sources import adapter
 from . import master as m
 
@@ -21,6 +21,11 @@ LEVELS = ("LOW", "MEDIUM", "HIGH")
 UNCERTAIN_FROM = ("bt_diff_mean", "bt_diff_max", "frp_mean_to_max_ratio", "detection_density", "active_day_ratio")
 
 
+def noisy(x: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
+    """`x` with its features standardised, and their names."""
+    return anomaly.standardised(x, anomaly.scales(x, UNCERTAIN_FROM)), tuple(f"std_{c}" for c in UNCERTAIN_FROM)
+
+
 def named(f: Query) -> Query:
     REGISTRY[f.__name__] = f
     return f
@@ -38,8 +43,8 @@ def s3_satellite_labels(spark, d):
 
 @named
 def s5_date_chunks(spark, d):
-    """A month cut into download windows of ten days."""
-    return cleaning.date_chunks(spark, "2024-01-01", "2024-02-03", 10)
+    """The days of the detections cut into download windows of ten days."""
+    return cleaning.range_chunks(adapter.detections(spark, d), 10)
 
 
 @named
@@ -222,7 +227,7 @@ def d14_d16_seasonal(spark, d):
 @named
 def d17_d18_uncertainty(spark, d):
     x = m.master(spark, d).withColumns({"completeness": C("active_day_ratio"), "cloud": (C("cluster_id") % 101) / 100.0})
-    return context.uncertainty(x, UNCERTAIN_FROM).select("cluster_id", "uncertainty", "ci_low", "ci_high", "needs_review", "risk_uncertainty", "risk_ci_low", "risk_ci_high", "risk_needs_review")
+    return context.uncertainty(*noisy(x)).select("cluster_id", "uncertainty", "ci_low", "ci_high", "needs_review", "risk_uncertainty", "risk_ci_low", "risk_ci_high", "risk_needs_review")
 
 
 @named
@@ -364,20 +369,19 @@ def a11_analytics(spark, d):
 @named
 def a13_uncertainty_rollup(spark, d):
     x = m.master(spark, d).withColumns({"completeness": C("active_day_ratio"), "cloud": (C("cluster_id") % 101) / 100.0})
-    return context.uncertainty(x, UNCERTAIN_FROM).groupBy("risk_level").agg(scalar.mean3(C("uncertainty")).alias("mean"), F.max("uncertainty").alias("most"), F.count_if(C("uncertainty") > 0.3).alias("uncertain"), F.count("*").alias("n"))
+    return context.uncertainty(*noisy(x)).groupBy("risk_level").agg(scalar.mean3(C("uncertainty")).alias("mean"), F.max("uncertainty").alias("most"), F.count_if(C("uncertainty") > 0.3).alias("uncertain"), F.count("*").alias("n"))
 
 
 @named
 def a14_monthly(spark, d):
-    """By month: detections, any strong one, any one at all in the morning."""
-    x = adapter.detections(spark, d)
-    return x.groupBy(F.month("acq_date").alias("month")).agg(F.count("*").alias("n"), F.bool_or(C("frp") > 5).alias("any_strong"), F.bool_or(C("acq_time") < "0600").alias("any_early"))
+    """The seasonal report of all detections: by region and month, with what it recommends."""
+    return context.seasonal_report(adapter.detections(spark, d))
 
 
 @named
 def a15_cloud_correlation(spark, d):
-    days = adapter.detections(spark, d).groupBy("acq_date").agg(F.count("*").alias("n")).join(adapter.clouds(spark, d), "acq_date", "left").withColumn("c", F.coalesce("cloud_cover", F.lit(50.0)))
-    return days.agg(F.count_if(C("c") > 70).alias("high_days"), F.count_if(C("c") < 30).alias("low_days"), F.sum(F.when(C("c") > 70, C("n"))).alias("detections_under_cloud"))
+    """By cluster: cloudy and clear days, and cloudy ones without a detection."""
+    return context.cloud_correlation(m.clustered(spark, d), adapter.clouds(spark, d))
 
 
 @named
@@ -389,9 +393,11 @@ def a16_daily_max(spark, d):
 def a17_quantiles(spark, d):
     """Exact medians and quartiles that scale the features of the outlier model."""
     x = m.featured(spark, d)
-    q = lambda c: scalar.rounded(F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))[1], 6)
-    part = lambda c, i: scalar.rounded(F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))[i], 6)
-    return x.agg(q("max_frp").alias("frp_median"), part("max_frp", 0).alias("frp_q1"), part("max_frp", 2).alias("frp_q3"), q("max_bright_ti4").alias("ti4_median"))
+    found = quantiles.exact(x, ("max_frp", "max_bright_ti4"), (0.25, 0.5, 0.75))
+    q1, median, q3 = found["max_frp"]
+    row = (median, q1, q3, found["max_bright_ti4"][1])
+    names = ("frp_median", "frp_q1", "frp_q3", "ti4_median")
+    return spark.createDataFrame([row], ", ".join(f"{n} double" for n in names)).select(*[scalar.rounded(C(n), 6).alias(n) for n in names])
 
 
 @named

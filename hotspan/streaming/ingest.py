@@ -69,6 +69,7 @@ def run(raw: DataFrame, out: str, checkpoints: str, after: Callable[[DataFrame,
     A batch that is run again writes the same folder, so nothing is appended twice. With `ttl_ms` keys are remembered
     by processing time (`first_seen`), without it by the time of the observations.
     """
+    from . import status
     from .alerts import started
 
     def write(batch: DataFrame, number: int) -> None:
@@ -76,7 +77,7 @@ def run(raw: DataFrame, out: str, checkpoints: str, after: Callable[[DataFrame,
         if after:
             after(batch, number)
 
-    kept = detections(raw) if ttl_ms is None else first_seen(raw, ttl_ms)
+    kept = status.kept(detections(raw) if ttl_ms is None else first_seen(raw, ttl_ms))
     writer = kept.writeStream.option("checkpointLocation", checkpoints).trigger(availableNow=True).foreachBatch(write)
     return writer.start() if ttl_ms is None else started(writer)
 
