@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import cos, pi, sin
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EARTH_KM = 6371.0088
@@ -35,6 +35,18 @@ def number(x: Column, default: float | None = None) -> Column:
     return F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), d).otherwise(v)
 
 
+def json_safe(df: DataFrame, texts: tuple[str, ...] = ()) -> DataFrame:
+    """`df` as JSON can hold it: NaN and infinite numbers are null, missing values of the columns `texts` empty texts."""
+
+    def safe(name: str, kind: str) -> Column:
+        x = F.col(f"`{name}`")
+        if name in texts:
+            return F.coalesce(x, F.lit(""))
+        return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x) if kind in ("double", "float") else x
+
+    return df.select(*[safe(n, k).alias(n) for n, k in df.dtypes])
+
+
 def clean(x: Column) -> Column:
     """Trimmed text, '' where it says that something is missing."""
     t = F.trim(F.coalesce(x.cast("string"), F.lit("")))

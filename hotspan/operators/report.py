@@ -13,14 +13,15 @@ C = F.col
 NONE = "Not available"
 #: The order of level names; a text that is none of them comes first.
 LEVEL_ORDER = {"HIGH": 3, "MEDIUM": 2, "LOW": 1, "ELEVATED": 2, "NORMAL": 1}
-#: Area, and by which words in which columns it is told; the first that fits is taken.
+#: Area, its name and description, and by which words in which columns it is told; the first that fits is taken.
 AREAS = (
-    ("INDUSTRIAL_ZONE", {"classification_label": ("industrial",), "facility_type": ("factory", "industrial", "refinery", "power", "works")}),
-    ("FOREST_AREA", {"classification_label": ("forest",), "land_cover": ("forest", "tree", "woodland")}),
-    ("AGRICULTURAL_AREA", {"classification_label": ("agricultural",), "land_cover": ("crop", "agriculture", "field")}),
-    ("RESIDENTIAL_DOMESTIC", {"land_cover": ("urban", "built"), "facility_type": ("residential",)}),
-    ("PARK_PROTECTED", {"land_cover": ("park", "grass", "water")}),
+    ("INDUSTRIAL_ZONE", "Industrial / Manufacturing Area", "Identified near industrial infrastructure, factory clusters, or commercial facilities.", {"classification_label": ("industrial",), "facility_type": ("factory", "industrial", "refinery", "power", "works")}),
+    ("FOREST_AREA", "Forest / Natural Vegetation Area", "Identified in forest canopy, dense vegetative cover, or wilderness zone.", {"classification_label": ("forest",), "land_cover": ("forest", "tree", "woodland"), "rationale": ("forest",)}),
+    ("AGRICULTURAL_AREA", "Agricultural / Farmland Area", "Identified in open agricultural fields, rural crop parcels, or agrarian landscape.", {"classification_label": ("agricultural",), "land_cover": ("crop", "agriculture", "field"), "rationale": ("crop",)}),
+    ("RESIDENTIAL_DOMESTIC", "Domestic / Residential Settlement Area", "Identified within or adjacent to inhabited settlements, residential colonies, or township sectors.", {"land_cover": ("urban", "built"), "facility_type": ("residential",)}),
+    ("PARK_PROTECTED", "Park / Protected Green Zone", "Identified in parklands, water buffer zones, or protected natural open spaces.", {"land_cover": ("park", "grass", "water")}),
 )
+ELSEWHERE = ("MIXED_TERRAIN", "Mixed / Rural Open Terrain", "Observed in open terrain or transitional rural geography with mixed spectral characteristics.")
 #: What to do next, by severity; all others have the last list.
 ACTIONS = {
     "CRITICAL": (
@@ -76,29 +77,66 @@ def sort_keys(df: DataFrame, column: str, ascending: bool = True) -> list[Column
     return [x.isNull(), *[k.asc() if ascending else k.desc() for k in by]]
 
 
-def area_category() -> Column:
-    """Kind of area, from label, facility and land cover."""
-    holds = lambda c, words: reduce(lambda a, b: a | b, [F.contains(F.lower(F.coalesce(C(c), F.lit(""))), F.lit(w)) for w in words])
-    out = F.lit("MIXED_TERRAIN")
-    for name, words in reversed(AREAS):
-        out = F.when(reduce(lambda a, b: a | b, [holds(c, w) for c, w in words.items()]), name).otherwise(out)
+def area(rationale: Column | None = None, town: Column | None = None, locality: Column | None = None) -> Column:
+    """Kind of area with its name and description, from label, facility and land cover.
+
+    `rationale` is the text that explains the class, `town` and `locality` what a geocoder knows; a known one (neither
+    null, empty nor NONE) tells of a settlement where no area before it fits. Without them those conditions do not count.
+    """
+    text_of = lambda c: F.lower(F.coalesce(rationale if c == "rationale" else C(c), F.lit("")))
+    settled = [F.coalesce(~F.trim(x).isin("", NONE), F.lit(False)) for x in (town, locality) if x is not None]
+    told = lambda *x: F.struct(*[F.lit(v).alias(k) for k, v in zip(("type", "name", "description"), x, strict=True)])
+    out = told(*ELSEWHERE)
+    for *names, words in reversed(AREAS):
+        met = [F.contains(text_of(c), F.lit(w)) for c, some in words.items() if c != "rationale" or rationale is not None for w in some]
+        out = F.when(reduce(lambda a, b: a | b, met + (settled if names[0] == "RESIDENTIAL_DOMESTIC" else [])), told(*names)).otherwise(out)
     return out
 
 
-def supporting_evidence() -> Column:
-    """Array of (key, why): what speaks for a cluster, of the thresholds that it meets."""
-    level, days = C("abnormality_level"), C("active_days").cast("string")
+def area_category(**known: Column) -> Column:
+    return area(**known)["type"]
+
+
+def evidence(imagery: Column | None = None) -> Column:
+    """Array of (side, key, label, why): what supports a cluster, of the thresholds that it meets, and what limits it.
+
+    `imagery` says whether a usable satellite scene is at hand; without it there is none. Missing values count as 0, a
+    missing count of days as 1. The sentences are fixed values.
+    """
+    level, label = C("abnormality_level"), C("classification_label")
+    number = lambda c: F.coalesce(C(c).cast("double"), F.lit(0.0))
+    days, lasting = F.coalesce(C("active_days"), F.lit(1)), F.lower(F.coalesce("persistence_category", F.lit("")))
+    of = lambda pattern, *values: F.format_string(pattern, *values)
+    one = lambda x: scalar.fixed(x, 1)
+    ti4, diff, frp = number("max_bright_ti4"), number("bt_diff_max"), number("max_frp")
     found = (
-        ("intensity", (C("max_bright_ti4") >= 340) | (C("bt_diff_max") >= 45), F.concat(F.lit("Peak "), text("max_bright_ti4"), F.lit(" K, contrast "), text("bt_diff_max"), F.lit(" K"))),
-        ("persistence", (F.lower("persistence_category") == "persistent") | (C("active_days") >= 4), F.concat(days, F.lit(" active day(s), "), F.lower("persistence_category"))),
-        ("frp", C("max_frp") >= 15, F.concat(F.lit("Peak power "), text("max_frp"), F.lit(" MW"))),
-        ("abnormality", level.isin("HIGH", "ELEVATED"), F.concat(level, F.lit(" against the baseline"))),
-        ("reliability", C("detection_reliability") == "HIGH", F.lit("HIGH detection reliability")),
+        ("supporting", "intensity", "High thermal intensity", (ti4 >= 340) | (diff >= 45), of("Peak brightness temperature %s K and/or spectral contrast %s K exceed the anomaly-explainer thresholds.", one(ti4), one(diff))),
+        ("supporting", "persistence", "Persistent thermal activity", (lasting == "persistent") | (days >= 4), of("Activity spans %s active day(s) with persistence category '%s'.", days.cast("string"), F.when(lasting == "", "unknown").otherwise(lasting))),
+        ("supporting", "frp", "Elevated FRP", frp >= 15, of("Peak Fire Radiative Power of %s MW meets the strong-FRP evidence threshold (>= 15 MW).", one(frp))),
+        ("supporting", "abnormality", F.concat(level, F.lit(" statistical abnormality")), level.isin("HIGH", "ELEVATED"), of("The event was flagged %s relative to the analyzed thermal baseline.", level)),
+        ("supporting", "reliability", "High detection reliability", C("detection_reliability") == "HIGH", F.lit("The false-alarm detector assigned HIGH detection reliability to this cluster.")),
+        ("supporting", "context", "Strong contextual evidence", (number("classification_score") >= 0.6) & ~F.contains(label, F.lit("Unknown")), of("The source-classification model assigned a confidence of %s%% (%s).", scalar.rounded(number("classification_score") * 100, 0).cast("int").cast("string"), label)),
+        ("limiting", "satellite", "Limited satellite imagery", F.lit(True) if imagery is None else ~F.coalesce(imagery, F.lit(False)), F.lit("No usable Sentinel-2 observation: imagery is unavailable or cloud-obscured. This is not negative evidence.")),
+        ("limiting", "fa", "High false-alarm concern", C("false_alarm_indicator") == "HIGH", F.lit("The false-alarm detector flagged weak or single-pass evidence. HIGH concern is not a confirmed false alarm.")),
+        ("limiting", "movement", "Insufficient movement observations", C("movement_status") == "INSUFFICIENT_DATA", F.lit("Too few satellite passes to infer a defensible direction for the detected thermal activity.")),
+        ("limiting", "station", "No nearby fire station", C("station_km").isNull(), F.lit("No verified fire station was found within the operational search radius.")),
     )
-    each = [F.when(F.coalesce(met, F.lit(False)), F.struct(F.lit(k).alias("key"), why.alias("why"))) for k, met, why in found]
+    each = [F.when(F.coalesce(met, F.lit(False)), F.struct(F.lit(side).alias("side"), F.lit(k).alias("key"), (F.lit(name) if isinstance(name, str) else name).alias("label"), why.alias("why"))) for side, k, name, met, why in found]
     return F.array_compact(F.array(*each))
 
 
+def supporting_evidence() -> Column:
+    return F.filter(evidence(), lambda e: e["side"] == "supporting")
+
+
+def relevance(name: Column, aliases: Column, query: Column) -> Column:
+    """How well a place fits a search, 0 best: its name, one of its aliases, a name that begins so, any name or alias that holds it; null for others and for blank searches."""
+    q, low = F.lower(F.trim(query)), F.lower(name)
+    others = F.transform(F.coalesce(aliases, F.array().cast("array<string>")), lambda a: F.lower(a))
+    holds = F.contains(low, q) | F.exists(others, lambda a: F.contains(a, q))
+    return F.when((q != "") & holds, F.when(low == q, 0).when(F.array_contains(others, q), 1).when(F.startswith(low, q), 2).otherwise(3))
+
+
 def attribution(values: dict[str, Column], most: int = 5) -> tuple[Column, Column, Column]:
     """(positive, negative, summary): the `most` largest values of either sign by magnitude, ties by name; missing ones
     count as 0. The summary names three of each and which side outweighs the other."""

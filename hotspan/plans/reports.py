@@ -6,15 +6,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalar
-from ..operators import report
+from ..operators import anomaly, reasoning, report
 from ..sources import adapter
 from . import master as m
 from . import oracles as o
 from .queries import Query, cycles
+from .told import reasons_sql
 
 C = F.col
-#: Columns and the documented thresholds that they are held against.
-AGAINST = {"max_frp": 20, "bt_diff_max": 30, "observation_count": 5, "active_days": 3, "risk_score": 50, "duration_days": 7}
 STATUSES = ("Cloud obscured", "Search pending", "No network connection (retry)", "", "Classified", "Request timed out")
 OUTCOMES = ("found", "not_found", "unavailable", "disabled", "missing_coords", "timeout", "http_error", "parse_error", "network_error")
 
@@ -26,21 +25,40 @@ def o4_generic_order(spark, d):
 
 
 def d31_area_category(spark, d):
-    return m.master(spark, d).select("cluster_id", report.area_category().alias("area"))
+    """Kind of area of each cluster, told by its reasons as well."""
+    return m.master(spark, d).select("cluster_id", report.area(rationale=reasoning.trimmed()).alias("a")).select("cluster_id", "a.type", "a.name", "a.description")
 
 
-def d32_supporting_evidence(spark, d):
-    """One row per cluster and kind of evidence."""
-    x = m.master(spark, d).select("cluster_id", F.explode(report.supporting_evidence()).alias("e"))
-    return x.select("cluster_id", "e.key", "e.why")
+def d32_evidence(spark, d):
+    """One row per cluster and kind of evidence, for and against it."""
+    x = m.master(spark, d).select("cluster_id", F.explode(report.evidence()).alias("e"))
+    return x.select("cluster_id", "e.side", "e.key", "e.label", "e.why")
 
 
 def d26_attribution(spark, d):
-    """What puts a cluster over or under the documented thresholds."""
-    up, down, summary = report.attribution({k: C(k).cast("double") - F.lit(float(v)) for k, v in AGAINST.items()})
+    """What weighs most among a cluster's features, by size."""
+    up, down, summary = report.attribution({k: C(k).cast("double") for k in anomaly.FEATURES})
     return m.master(spark, d).select("cluster_id", up.alias("positive"), down.alias("negative"), summary.alias("summary"))
 
 
+def p14_json_safe(spark, d):
+    """Rates of movement as JSON can hold them: those of no days are NaN or infinite before."""
+    x = m.master(spark, d)
+    none = F.when(C("observation_count") > 1, F.lit(float("inf"))).otherwise(F.lit(float("nan")))
+    rate = F.when(C("duration_days") == 0, none).otherwise(scalar.rounded(C("total_movement_distance_km") / F.nullif(C("duration_days").cast("double"), F.lit(0.0)), 6))
+    return scalar.json_safe(x.select("cluster_id", "direction", "facility_type", rate.alias("rate")), ("direction",))
+
+
+def o7_places(spark, d):
+    """Nations that each of three searches finds, by name or alias, the best first."""
+    n = adapter.read(spark, d, "nation")
+    x = n.withColumn("search", F.explode(F.array(*map(F.lit, (" Nation_1 ", "n1", "REGION")))))
+    names = F.array(F.concat(F.lit("N"), C("n_nationkey").cast("string")), F.concat(F.lit("region "), C("n_regionkey").cast("string")))
+    found = x.withColumn("relevance", report.relevance(C("n_name"), names, C("search"))).where("relevance is not null")
+    w = Window.partitionBy("search").orderBy("relevance", "n_nationkey")
+    return found.select("search", "n_name", "relevance", F.row_number().over(w).alias("place"))
+
+
 def d27_incident_report(spark, d):
     station = F.when(C("station_km") > 0, F.concat(report.text("station_km", 2), F.lit(" km"))).otherwise(report.NONE)
     near = F.when((C("facility_type") != "") & C("facility_km").isNotNull(), F.concat("facility_type", F.lit(" ("), report.text("facility_km", 2), F.lit(" km away)"))).otherwise("No industrial facility identified in close proximity.")
@@ -159,7 +177,7 @@ def k2_versions(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    made = (o4_generic_order, d26_attribution, d27_incident_report, d31_area_category, d32_supporting_evidence, d34_location_header, d35_message, d38_pass_statistics, d39_bootstrap, d40_formats, d41_facility_kind, d42_query_status, d43_patch_quality, p19_settled, j15_first_given, u2_history, u6_heads, s14_geocode_cache, r6_run_status, api_health, k2_versions)
+    made = (o4_generic_order, d26_attribution, d27_incident_report, d31_area_category, d32_evidence, p14_json_safe, o7_places, d34_location_header, d35_message, d38_pass_statistics, d39_bootstrap, d40_formats, d41_facility_kind, d42_query_status, d43_patch_quality, p19_settled, j15_first_given, u2_history, u6_heads, s14_geocode_cache, r6_run_status, api_health, k2_versions)
     return {f.__name__: f for f in made}
 
 
@@ -167,16 +185,23 @@ def oracle_sql() -> dict[str, str]:
     q = lambda s: "'" + s + "'"
     pick = lambda values, by: f"([{', '.join(map(q, values))}])[{by} % {len(values)} + 1]"
     has = lambda c, words: " OR ".join(f"contains(lower(coalesce({c}, '')), '{w}')" for w in words)
-    area = " ".join(f"WHEN {' OR '.join(has(c, w) for c, w in words.items())} THEN '{name}'" for name, words in report.AREAS)
+    words = lambda some: " OR ".join(has({"rationale": "why"}.get(c, c), w) for c, w in some.items())
+    area = lambda k: "CASE " + " ".join(f"WHEN {words(a[3])} THEN '{a[k]}'" for a in report.AREAS) + f" ELSE '{report.ELSEWHERE[k]}' END"
     frp, ti4, diff, risk = (o.fixed(c, 1) for c in ("max_frp", "max_bright_ti4", "bt_diff_max", "risk_score"))
+    zero = lambda c: o.fixed(f"coalesce({c}, 0.0)", 1)
     evidence = (
-        ("intensity", "max_bright_ti4 >= 340 OR bt_diff_max >= 45", f"'Peak ' || {ti4} || ' K, contrast ' || {diff} || ' K'"),
-        ("persistence", "persistence_category = 'persistent' OR active_days >= 4", "active_days || ' active day(s), ' || persistence_category"),
-        ("frp", "max_frp >= 15", f"'Peak power ' || {frp} || ' MW'"),
-        ("abnormality", "abnormality_level IN ('HIGH', 'ELEVATED')", "abnormality_level || ' against the baseline'"),
-        ("reliability", "detection_reliability = 'HIGH'", "'HIGH detection reliability'"),
+        ("supporting", "intensity", "'High thermal intensity'", "max_bright_ti4 >= 340 OR bt_diff_max >= 45", f"'Peak brightness temperature ' || {zero('max_bright_ti4')} || ' K and/or spectral contrast ' || {zero('bt_diff_max')} || ' K exceed the anomaly-explainer thresholds.'"),
+        ("supporting", "persistence", "'Persistent thermal activity'", "persistence_category = 'persistent' OR active_days >= 4", "'Activity spans ' || active_days || ' active day(s) with persistence category ' || chr(39) || persistence_category || chr(39) || '.'"),
+        ("supporting", "frp", "'Elevated FRP'", "max_frp >= 15", f"'Peak Fire Radiative Power of ' || {frp} || ' MW meets the strong-FRP evidence threshold (>= 15 MW).'"),
+        ("supporting", "abnormality", "abnormality_level || ' statistical abnormality'", "abnormality_level IN ('HIGH', 'ELEVATED')", "'The event was flagged ' || abnormality_level || ' relative to the analyzed thermal baseline.'"),
+        ("supporting", "reliability", "'High detection reliability'", "detection_reliability = 'HIGH'", "'The false-alarm detector assigned HIGH detection reliability to this cluster.'"),
+        ("supporting", "context", "'Strong contextual evidence'", "classification_score >= 0.6 AND NOT contains(classification_label, 'Unknown')", "'The source-classification model assigned a confidence of ' || round_even(classification_score * 100, 0)::INT || '% (' || classification_label || ').'"),
+        ("limiting", "satellite", "'Limited satellite imagery'", "TRUE", "'No usable Sentinel-2 observation: imagery is unavailable or cloud-obscured. This is not negative evidence.'"),
+        ("limiting", "fa", "'High false-alarm concern'", "false_alarm_indicator = 'HIGH'", "'The false-alarm detector flagged weak or single-pass evidence. HIGH concern is not a confirmed false alarm.'"),
+        ("limiting", "movement", "'Insufficient movement observations'", "movement_status = 'INSUFFICIENT_DATA'", "'Too few satellite passes to infer a defensible direction for the detected thermal activity.'"),
+        ("limiting", "station", "'No nearby fire station'", "station_km IS NULL", "'No verified fire station was found within the operational search radius.'"),
     )
-    long = " UNION ALL ".join(f"SELECT cluster_id, '{k}' AS name, {k}::DOUBLE - {float(v)} AS v FROM master" for k, v in AGAINST.items())
+    long = " UNION ALL ".join(f"SELECT cluster_id, '{k}' AS name, {k}::DOUBLE AS v FROM master" for k in anomaly.FEATURES)
     told = f"name || ' (' || {o.fixed('v', 3)} || ')'"
     listed = lambda sign, n: f"string_agg({told}, ', ' ORDER BY n) FILTER (v {sign} 0 AND n <= {n})"
     acts = " ".join(f"WHEN '{k}' THEN '{' | '.join(v)}'" for k, v in report.ACTIONS.items() if k)
@@ -194,8 +219,12 @@ def oracle_sql() -> dict[str, str]:
     levels = " ".join(f"WHEN '{k}' THEN {v}" for k, v in report.LEVEL_ORDER.items())
     return {
         "o4_generic_order": o.sql(f"SELECT cluster_id, abnormality_level, (CASE abnormality_level {levels} ELSE 0 END)::INT AS level_order FROM master ORDER BY 3 DESC, 2 DESC, 1", "master"),
-        "d31_area_category": o.sql(f"SELECT cluster_id, CASE {area} ELSE 'MIXED_TERRAIN' END AS area FROM master", "master"),
-        "d32_supporting_evidence": o.sql(" UNION ALL ".join(f"SELECT cluster_id, '{k}' AS key, {why} AS why FROM master WHERE {met}" for k, met, why in evidence), "master"),
+        "d31_area_category": o.sql(f"SELECT cluster_id, {area(0)} AS type, {area(1)} AS name, {area(2)} AS description FROM (SELECT *, {reasons_sql()} AS why FROM master)", "master"),
+        "d32_evidence": o.sql(" UNION ALL ".join(f"SELECT cluster_id, '{side}' AS side, '{k}' AS key, {name} AS label, {why} AS why FROM master WHERE {met}" for side, k, name, met, why in evidence), "master"),
+        "p14_json_safe": o.sql(f"SELECT cluster_id, coalesce(direction, '') AS direction, facility_type, CASE WHEN duration_days <> 0 THEN {o.rnd('total_movement_distance_km / duration_days::DOUBLE', 6)} END AS rate FROM master", "master"),
+        "o7_places": """SELECT search, n_name, relevance, row_number() OVER (PARTITION BY search ORDER BY relevance, n_nationkey)::INT AS place FROM (
+            SELECT search, n_nationkey, n_name, CASE WHEN lower(n_name) = q THEN 0 WHEN 'n' || n_nationkey = q OR 'region ' || n_regionkey = q THEN 1 WHEN starts_with(lower(n_name), q) THEN 2 ELSE 3 END AS relevance
+            FROM nation, (SELECT search, lower(trim(search)) AS q FROM (SELECT unnest([' Nation_1 ', 'n1', 'REGION']) AS search)) WHERE contains(lower(n_name), q) OR contains('n' || n_nationkey, q) OR contains('region ' || n_regionkey, q))""",
         "d26_attribution": o.sql(f"""SELECT cluster_id, coalesce(p5, '') AS positive, coalesce(m5, '') AS negative, concat_ws('; ', 'Top positive factors: ' || p3, 'Top negative factors: ' || m3, CASE WHEN t > 0 THEN 'Overall positive signal dominates' ELSE 'Overall negative signal dominates' END) AS summary
             FROM (SELECT cluster_id, {listed('>', 5)} AS p5, {listed('<', 5)} AS m5, {listed('>', 3)} AS p3, {listed('<', 3)} AS m3, sum(round_even(v * 1000.0::DOUBLE, 0)::BIGINT) AS t FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id, sign(v) ORDER BY abs(v) DESC, name) AS n FROM ({long})) GROUP BY 1)""", "master"),
         "d27_incident_report": o.sql(f"""SELECT cluster_id, severity, first_detection, last_detection, CASE WHEN station_km > 0 THEN {o.fixed('station_km', 2)} || ' km' ELSE 'Not available' END AS station_distance,

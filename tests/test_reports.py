@@ -8,8 +8,8 @@ from hotspan.plans import reports
 
 SCHEMA = """cluster_id long, severity string, classification_label string, facility_type string, land_cover string, abnormality_level string,
     persistence_category string, active_days long, observation_count long, max_bright_ti4 double, bt_diff_max double, max_frp double, risk_score double,
-    detection_reliability string, false_alarm_indicator string, evidence_confidence string, latitude double, longitude double, station_name string, station_km double"""
-PLAIN = dict(cluster_id=1, severity="HIGH", classification_label="Unknown", facility_type="", land_cover="unknown", abnormality_level="NORMAL", persistence_category="isolated", active_days=1, observation_count=2, max_bright_ti4=300.0, bt_diff_max=5.0, max_frp=1.0, risk_score=61.26, detection_reliability="LOW", false_alarm_indicator="MEDIUM", evidence_confidence="LOW", latitude=12.5, longitude=-77.25, station_name=None, station_km=None)
+    detection_reliability string, false_alarm_indicator string, evidence_confidence string, latitude double, longitude double, station_name string, station_km double, classification_score double, movement_status string"""
+PLAIN = dict(cluster_id=1, severity="HIGH", classification_label="Unknown", facility_type="", land_cover="unknown", abnormality_level="NORMAL", persistence_category="isolated", active_days=1, observation_count=2, max_bright_ti4=300.0, bt_diff_max=5.0, max_frp=1.0, risk_score=61.26, detection_reliability="LOW", false_alarm_indicator="MEDIUM", evidence_confidence="LOW", latitude=12.5, longitude=-77.25, station_name=None, station_km=None, classification_score=0.5, movement_status="MOVING")
 
 
 def one(spark, column, **changed):
@@ -74,3 +74,38 @@ def test_sort_and_run_status(spark):
 
 def test_all_reports_are_registered_with_sql():
     assert set(reports.queries()) == set(reports.oracle_sql()) and set(reports.queries()) <= set(entry.queries())
+
+
+def test_area_by_reasons_and_settlement(spark):
+    assert one(spark, report.area(rationale=F.lit("Dense Forest canopy")))[0] == "FOREST_AREA" and one(spark, report.area(rationale=F.lit(None)))[0] == "MIXED_TERRAIN"
+    assert one(spark, report.area(rationale=F.lit("crop burning")), land_cover="urban")[1] == "Agricultural / Farmland Area"
+    for town, locality, kind in (("Pune", None, "RESIDENTIAL_DOMESTIC"), (report.NONE, "Colony", "RESIDENTIAL_DOMESTIC"), (report.NONE, "", "MIXED_TERRAIN"), (None, None, "MIXED_TERRAIN")):
+        assert one(spark, report.area_category(town=F.lit(town), locality=F.lit(locality))) == kind
+    assert one(spark, report.area_category(town=F.lit("Pune")), land_cover="forest") == "FOREST_AREA"
+
+
+def test_evidence_for_and_against(spark):
+    row = {**PLAIN, "classification_score": 0.655, "movement_status": "INSUFFICIENT_DATA"}
+    told = lambda imagery=None, **c: {e.key: (e.side, e.label, e.why) for e in one(spark, report.evidence(imagery), **{**row, **c})}
+    plain = told()
+    assert list(plain) == ["satellite", "movement", "station"] and all(v[0] == "limiting" for v in plain.values())
+    assert list(told(F.lit(True), movement_status="MOVING", station_km=4.0)) == []
+    assert list(told(F.lit(None).cast("boolean"), movement_status=None, station_km=4.0)) == ["satellite"]
+    more = told(F.lit(True), classification_label="Industrial-context", false_alarm_indicator="HIGH", station_km=4.0, abnormality_level="ELEVATED", active_days=None, persistence_category="Persistent", movement_status="MOVING")
+    assert more["context"][2] == "The source-classification model assigned a confidence of 66% (Industrial-context)." and more["abnormality"][1] == "ELEVATED statistical abnormality"
+    assert more["persistence"][2] == "Activity spans 1 active day(s) with persistence category 'persistent'." and more["fa"][0] == "limiting"
+
+
+def test_searches_rank_names_before_aliases_before_beginnings(spark):
+    rows = [("Delhi", ["Dilli", "New Delhi"]), ("Delhi Cantt", None), ("Dehradun", ["delhi"]), ("Agra", ["Near Delhi", None]), ("Pune", [])]
+    df = spark.createDataFrame(rows, "name string, aliases array<string>")
+    got = lambda q: {r.name: r.x for r in df.select("name", report.relevance(F.col("name"), F.col("aliases"), F.lit(q)).alias("x")).collect() if r.x is not None}
+    assert got(" DELHI ") == {"Delhi": 0, "Dehradun": 1, "Delhi Cantt": 2, "Agra": 3}
+    assert got("  ") == {} and got(None) == {} and got("pune") == {"Pune": 0}
+
+
+def test_json_holds_no_nan(spark):
+    from hotspan.functions import scalar
+
+    df = spark.createDataFrame([(float("nan"), float("inf"), None, None, 1), (1.5, -2.0, "x", "y", None)], "a double, b float, t string, u string, n int")
+    assert [tuple(r) for r in scalar.json_safe(df, ("t",)).collect()] == [(None, None, "", None, 1), (1.5, -2.0, "x", "y", None)]
