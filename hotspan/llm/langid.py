@@ -7,7 +7,6 @@ rest; within the chosen family every pair of languages has its own machine and t
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
@@ -28,7 +27,11 @@ FAMILIES = {
     "romance": ("fr", "es", "it", "pt", "ca", "ro", "gl", "oc"),
     "slavic": ("ru", "uk", "be", "pl", "cs", "sk", "bg", "sr", "hr", "sl", "mk"),
 }
-LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter of Unicode; numbers such as one half or a superscript two are none."""
+    return any(map(str.isalpha, text))
 
 
 def family_of(language: str) -> str:
@@ -80,7 +83,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, score); score is the product of both steps' sigmoid margins, between 0 and 1."""
-        if not text or not LETTER.search(text) or not self.families:
+        if not text or not has_letter(text) or not self.families:
             return "und", 0.0
         x = np.append(profile(text), 1.0)
         sure = 1.0
@@ -114,7 +117,7 @@ def fit(labelled: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(lang, t) for lang, t in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True) if t and LETTER.search(t)]
+            rows = [(lang, t) for lang, t in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True) if t and has_letter(t)]
             x = [profile(t).astype(np.float32).tobytes() for _, t in rows]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array(x, pa.binary())], names=["lang", "x"])
 
@@ -156,7 +159,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 def classify(docs: DataFrame) -> DataFrame:
     """Per document doc_id, held_out, lang_pred, score, learnt from text and lang of documents that are not held out.
 
-    A null text, or one without a letter, is `und` with score 0, as is everything where nothing could be learnt.
+    A null text, or one without a letter (marks and numbers of any script are none), is `und` with score 0, as is everything where nothing could be learnt.
     Repeated rows are predicted each; no rows give none.
     """
     model = fit(docs.where(~held_out()).select(F.col("doc_id").alias("key"), "text", "lang"))

@@ -150,10 +150,10 @@ def test_languages(stored, spark):
     parts = {"en": ["the", "thing", "hand"], "de": ["schaft", "über", "nicht"], "fr": ["eau", "être", "que"], "es": ["ción", "llo", "ñas"], "xx": ["qqzz", "zzqq"]}
     make = lambda v: " ".join("".join(rnd.choice(parts[v]) for _ in range(rnd.randrange(1, 4))) for _ in range(30))
     rows = [(i, make(v), v) for i, v in enumerate([v for v in parts for _ in range(40)])]
-    docs = stored([*rows, (900, None, "en"), (901, "12 34 !", "en"), (902, "", None), (None, make("de"), None), (903, "x" * 300000, None)], "doc_id long, text string, lang string")
+    docs = stored([*rows, (900, None, "en"), (901, "12 34 !", "en"), (902, "", None), (None, make("de"), None), (903, "x" * 300000, None), *[(910 + k, t, None) for k, t in enumerate(("½", "² ①₂", "٣ ५", "…—“”", "\u0301\u0308", "🙂 ☃", "_", "中", "Ж", "ª"))]], "doc_id long, text string, lang string")
     got = rows_of(langid.classify(docs))
     by = {r[0]: r for r in got}
-    assert by[900][2:] == ("und", 0.0) and by[901][2] == "und" and by[902][2] == "und" and by[None][2] == "de" and all(0 <= r[3] <= 1 for r in got)
+    assert by[900][2:] == ("und", 0.0) and by[901][2] == "und" and by[902][2] == "und" and by[None][2] == "de" and [by[910 + k][2] == "und" for k in range(10)] == [True] * 7 + [False] * 3 and all(0 <= r[3] <= 1 for r in got)
     held = [(by[i][2], v) for i, _, v in rows if by[i][1]]
     assert held and sum(a == b for a, b in held) / len(held) > 0.95
     assert rows_of(langid.classify(spark.createDataFrame([], "doc_id long, text string, lang string"))) == []
