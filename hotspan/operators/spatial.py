@@ -18,23 +18,26 @@ def cell(x: Column, size: float) -> Column:
 def neighbour_pairs(points: DataFrame, km: float = 1.0, days: int = 3, key: str = "detection_id", exact: bool = False) -> DataFrame:
     """(a, b), a < b: pairs of points at most `km` and `days` apart.
 
-    Points meet in the 3 x 3 cells around them, of km / 111 degrees a side, and there in the stretches of days before,
-    at and after their own; so a site that burns for years never compares all its rows with each other. With `exact` the columns of cells widen with latitude, so that no pair beyond the neighbouring
-    cell is missed; without, the plain neighbourhood counts.
+    Points are dealt to cells of km / 111 degrees a side and stretches of days, so that a site that burns for years never
+    compares all its rows with each other. As a pair has no order, a point looks only into its own cell and into those of
+    its neighbours that come later: 14 of the 27 in space and time. With `exact` the columns of cells widen with
+    latitude, so that no pair beyond the neighbouring cell is missed; without, the plain neighbourhood counts.
     """
     size = max(km / 111.0, 1e-6)
     cells = (cell(F.col("latitude"), size).alias("cx"), cell(F.col("longitude"), size).alias("cy"), F.floor(F.unix_date("acq_date") / (days + 1)).alias("ct"))
     p = points.select(F.col(key).alias("id"), "latitude", "longitude", "acq_date", *cells)
     wide = F.ceil(1.0 / F.greatest(F.cos(F.radians(F.abs(F.col("latitude")) + 2 * size)), F.lit(0.01))).cast("int") if exact else F.lit(1)
-    beside = F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))
-    around = p.withColumn("dx", beside).withColumn("dt", beside).withColumn("dy", F.explode(F.sequence(-wide, wide)))
-    l = around.select("id", "latitude", "longitude", "acq_date", *[(F.col(f"c{x}") + F.col(f"d{x}")).alias(f"c{x}") for x in "xyt"]).alias("l")
+    later = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(t).alias("t")) for x, t in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
+    around = p.withColumn("d", F.explode(later)).withColumn("dy", F.explode(F.sequence(F.when((F.col("d.x") == 0) & (F.col("d.t") == 0), 0).otherwise(-wide), wide)))
+    own = ((F.col("d.x") == 0) & (F.col("d.t") == 0) & (F.col("dy") == 0)).alias("own")
+    l = around.select("id", "latitude", "longitude", "acq_date", own, (F.col("cx") + F.col("d.x")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"), (F.col("ct") + F.col("d.t")).alias("ct")).alias("l")
     r = p.alias("r")
     close = haversine(F.col("l.latitude"), F.col("l.longitude"), F.col("r.latitude"), F.col("r.longitude")) <= km
     near_in_time = F.abs(F.date_diff(F.col("l.acq_date"), F.col("r.acq_date"))) <= days
     meet = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("cx", "cy", "ct")]
-    on = meet[0] & meet[1] & meet[2] & (F.col("l.id") < F.col("r.id")) & near_in_time & close
-    return l.join(r, on).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
+    once = F.when(F.col("l.own"), F.col("l.id") < F.col("r.id")).otherwise(F.col("l.id") != F.col("r.id"))
+    met = l.join(r, meet[0] & meet[1] & meet[2] & once & near_in_time & close)
+    return met.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b"))
 
 
 def clustered(points: DataFrame, km: float = 1.0, days: int = 3) -> DataFrame:

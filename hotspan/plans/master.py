@@ -10,17 +10,18 @@ from pyspark.sql import functions as F
 from ..operators import anomaly, context, features, rules, spatial
 from ..operators.graph import checkpoint
 from ..sources import adapter
+from ..sources.versions import Files
 
 STATION_KM, FACILITY_KM = 50.0, 2.0
-_kept: dict[tuple[str, str, str], DataFrame] = {}
+_kept: dict[tuple[str, str, str], tuple[tuple, DataFrame]] = {}
 
 
 def kept(name: str, spark: SparkSession, sf_dir: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """What `make` gives, made once per application and input and kept as a checkpoint, as queries are served from it."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _kept:
-        _kept[key] = checkpoint(make())
-    return _kept[key]
+    """What `make` gives, made once per application and state of the input's files and kept as a checkpoint, as queries are served from it."""
+    key, now = (spark.sparkContext.applicationId, sf_dir, name), Files(spark, sf_dir).state(sf_dir)
+    if key not in _kept or _kept[key][0] != now:
+        _kept[key] = (now, checkpoint(make()))
+    return _kept[key][1]
 
 
 def clustered(spark: SparkSession, sf_dir: str) -> DataFrame:

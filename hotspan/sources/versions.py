@@ -35,6 +35,11 @@ class Files:
             return {}
         return {s.getPath().getName(): int(s.getLen()) for s in self.fs.listStatus(self.path(folder))}
 
+    def state(self, folder: str) -> tuple:
+        """What tells one state of a folder's files from another: their number and size in all, and when its entries were changed."""
+        s = self.fs.getContentSummary(self.path(folder))
+        return s.getFileCount(), s.getLength(), tuple((e.getPath().getName(), e.getModificationTime()) for e in self.fs.listStatus(self.path(folder)))
+
     def read(self, name: str) -> str:
         stream = self.fs.open(self.path(name))
         try:

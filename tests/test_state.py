@@ -214,3 +214,14 @@ def test_old_versions_go_and_batches_count_once(spark, tmp_path):
     # a table without rows keeps its columns
     versions.write(spark.range(0), path)
     assert versions.read(spark, path).columns == ["id"] and versions.read(spark, path).count() == 0
+
+
+def test_tables_that_are_kept_follow_their_input(spark, tmp_path):
+    from hotspan.plans import master
+
+    d = str(tmp_path / "in")
+    got = lambda: master.kept("t", spark, d, lambda: spark.read.parquet(f"{d}/t.parquet")).count()
+    for n in (3, 3, 5):
+        spark.range(n).coalesce(1).write.mode("overwrite").parquet(f"{d}/t.parquet")
+        assert got() == n
+    assert got() == 5
