@@ -23,6 +23,8 @@ NO_SEASON = "No regional season data available"
 FARM_ADVICE = "High detection count during agricultural burning season - expect increased agricultural fire classifications"
 FOREST_ADVICE = "Active fire detections during forest fire season - monitor for potential wildfire escalation"
 HIGH_CLOUD = 70
+#: Warnings about a filled series.
+TOO_SHORT, HIGH_RATIO, LARGE_GAP = "Insufficient data for interpolation", "High interpolation ratio: %s/%s points interpolated", "Large gap between %s and %s (%s days)"
 #: How much of the infrared signal passes a kind of cloud.
 PENETRATION = {"clear": 1.0, "cirrus": 0.7, "cumulus": 0.5, "stratus": 0.2, "cumulonimbus": 0.1, "unknown": 0.5}
 
@@ -149,6 +151,35 @@ def interpolated(series: DataFrame, method: str = "linear", most: int = 3, cloud
     return out.select("cluster_id", C("at").alias("day"), C("filled").alias("value"))
 
 
+def interpolation_quality(series: DataFrame, most: int = 3, clouds: DataFrame | None = None, cloudy: float = 70.0) -> DataFrame:
+    """Per cluster: n_original, n_interpolated, quality (0 to 1) and warnings of its series as `interpolated` fills it.
+
+    Quality loses half of the share of filled days, and a tenth for each day of the longest gap, filled or not, up to
+    0.3; it is rounded to three digits. With `clouds` it is multiplied by how cloudy the filled days are on average (a
+    day without a record counts as 50 per cent): 1 over 70 per cent, 0.9 over 50, else 0.7; without filled days by 1.
+    Warnings tell of over three tenths of filled days and of gaps of over two days, in their order; a series of fewer
+    than two days has quality 1 and says that it is too short.
+    """
+    g = gaps(series).withColumn("end", F.expr("date_add(day, gap_days + 1)"))
+    text = F.format_string(LARGE_GAP, C("day").cast("string"), C("end").cast("string"), C("gap_days").cast("string"))
+    large = F.sort_array(F.collect_list(F.when(C("gap_days") > 2, F.struct("day", text.alias("t")))))
+    longest = g.groupBy("cluster_id").agg(F.max("gap_days").alias("longest"), F.transform(large, lambda x: x["t"]).alias("large"))
+    filled = interpolated(series, most=most, clouds=clouds, cloudy=cloudy)
+    if clouds is not None:
+        filled = filled.join(clouds.select(C("acq_date").alias("day"), "cloud_cover"), "day", "left").withColumn("cloud_cover", F.coalesce("cloud_cover", F.lit(50.0)))
+    cover = F.avg("cloud_cover") if clouds is not None else F.lit(100.0)
+    by = filled.groupBy("cluster_id").agg(F.count("*").alias("n_interpolated"), cover.alias("cover"))
+    x = series.groupBy("cluster_id").agg(F.count("*").alias("n_original")).join(longest, "cluster_id", "left").join(by, "cluster_id", "left").fillna(0, ["n_interpolated", "longest"])
+    total = C("n_original") + C("n_interpolated")
+    share = C("n_interpolated") / total
+    plain = F.greatest(F.lit(0.0), 1.0 - share * 0.5 - F.least(F.lit(0.3), C("longest") * 0.1))
+    factor = F.when(C("cover").isNull() | (C("cover") > 70), 1.0).when(C("cover") > 50, 0.9).otherwise(0.7)
+    high = F.when(share > 0.3, F.format_string(HIGH_RATIO, C("n_interpolated").cast("string"), total.cast("string")))
+    told = F.array_compact(F.concat(F.array(high), F.coalesce("large", F.array().cast("array<string>"))))
+    short = C("n_original") < 2
+    return x.select("cluster_id", "n_original", "n_interpolated", F.when(short, 1.0).otherwise(rounded(plain, 3) * factor).alias("quality"), F.when(short, F.array(F.lit(TOO_SHORT))).otherwise(told).alias("warnings"))
+
+
 def gap_reasons(series: DataFrame, clouds: DataFrame) -> DataFrame:
     """Every missing day of a cluster between its first and last, with a reason and a fill from the values around it.
 

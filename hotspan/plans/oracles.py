@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..operators.context import FARM_ADVICE, FOREST_ADVICE, NO_SEASON
+from ..operators.context import FARM_ADVICE, FOREST_ADVICE, NO_SEASON, TOO_SHORT
 from ..sources.adapter import BOUNDARY
 
 S3, S7 = "1000.0::DOUBLE", "1e6::DOUBLE"
@@ -241,6 +241,13 @@ def oracle_sql() -> dict[str, str]:
         "d20_interpolated_linear": sql(f"SELECT cluster_id, d AS day, {rnd('value + (nv - value) * t', 6)} AS value FROM fill", "fill"),
         "d20_interpolated_nearest": sql(f"SELECT cluster_id, d AS day, {rnd('CASE WHEN i <= g // 2 THEN value ELSE nv END', 6)} AS value FROM fill", "fill"),
         "d20_interpolated_spline_cloudy": sql(f"SELECT cluster_id, d AS day, {rnd('value + (nv - value) * (t * t * 3.0::DOUBLE - t * t * t * 2.0::DOUBLE)', 6)} AS value FROM (SELECT fill.*, bool_and(coalesce(cloud_cover > 70, FALSE)) OVER (PARTITION BY cluster_id, fill.day) AS dark FROM fill LEFT JOIN clouds ON clouds.acq_date = fill.d) WHERE dark", "fill", "clouds"),
+        "d20_interpolation_quality": sql(f"""SELECT cluster_id, n_original, n_interpolated, CASE WHEN n_original < 2 THEN 1.0::DOUBLE ELSE {rnd(rnd("greatest(0.0::DOUBLE, 1.0::DOUBLE - n_interpolated / (n_original + n_interpolated)::DOUBLE * 0.5::DOUBLE - least(0.3::DOUBLE, longest * 0.1::DOUBLE))", 3) + " * CASE WHEN cover IS NULL OR cover > 70 THEN 1.0::DOUBLE WHEN cover > 50 THEN 0.9::DOUBLE ELSE 0.7::DOUBLE END", 6)} END AS quality,
+            CASE WHEN n_original < 2 THEN '{TOO_SHORT}' ELSE concat_ws(' | ', CASE WHEN n_interpolated / (n_original + n_interpolated)::DOUBLE > 0.3 THEN 'High interpolation ratio: ' || n_interpolated || '/' || (n_original + n_interpolated) || ' points interpolated' END, large) END AS warnings
+            FROM (SELECT cluster_id, count(*) AS n_original, coalesce(max(size), 0) AS longest, coalesce(sum(size) FILTER (dark), 0)::BIGINT AS n_interpolated, sum(covers) FILTER (dark) / sum(size) FILTER (dark) AS cover,
+                    string_agg('Large gap between ' || day || ' and ' || next || ' (' || size || ' days)', ' | ' ORDER BY day) FILTER (size > 2) AS large FROM (
+                SELECT cluster_id, day, next, CASE WHEN size > 0 THEN size END AS size, (SELECT sum(coalesce(cloud_cover, 50.0)) FROM clouds WHERE acq_date > day AND acq_date < next) AS covers,
+                    size BETWEEN 1 AND 3 AND (SELECT count(*) FROM clouds WHERE acq_date > day AND acq_date < next AND cloud_cover > 70) = size AS dark
+                FROM (SELECT *, datediff('day', day, next) - 1 AS size FROM (SELECT *, lead(day) OVER (PARTITION BY cluster_id ORDER BY day) AS next FROM series))) GROUP BY cluster_id)""", "series", "clouds"),
         "d22_d23_gap_reasons": sql(f"SELECT cluster_id, d AS day, cc AS cloud_cover, CASE WHEN cc > 70 AND (i = 0 OR i = g - 1) THEN 'cloud_obscured' WHEN cc > 70 THEN 'uncertain' WHEN cc < 30 THEN 'real_gap' ELSE 'uncertain' END AS gap_type, {rnd('(value + nv) / 2.0::DOUBLE', 6)} AS filled_value FROM (SELECT z.*, coalesce(cloud_cover, 50.0) AS cc FROM (SELECT *, (day + (i + 1)::INT)::DATE AS d FROM (SELECT *, unnest(range(0, g)) AS i FROM gaps)) z LEFT JOIN clouds ON clouds.acq_date = z.d)", "gaps", "clouds"),
         "d24_fire_weather": f"SELECT event_id, {rnd('least(100.0::DOUBLE, greatest(0.0::DOUBLE, least(30.0::DOUBLE, greatest(0.0::DOUBLE, (t - 10) * 1.5::DOUBLE)) + least(30.0::DOUBLE, greatest(0.0::DOUBLE, (100 - h) * 0.4::DOUBLE)) + least(25.0::DOUBLE, greatest(0.0::DOUBLE, w * 2.5::DOUBLE)) - least(15.0::DOUBLE, greatest(0.0::DOUBLE, p * 2))))', 2)} AS fire_weather_index FROM (SELECT event_id, value / 10.0::DOUBLE AS t, 100.0::DOUBLE - value / 5.0::DOUBLE AS h, value / 50.0::DOUBLE AS w, (event_id % 7)::DOUBLE AS p FROM events)",
         "d28_event_keys": sql(f"SELECT cluster_id, sha1(concat_ws('|', 'EVK1', upper(f.s), {fixed('f.a', 3)}, {fixed('f.o', 3)}))[:16] AS event_key, observation_count, last_seen FROM keyed", "keyed"),

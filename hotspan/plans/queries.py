@@ -251,6 +251,13 @@ def d20_interpolated_spline_cloudy(spark, d):
     return context.interpolated(context.daily_series(m.clustered(spark, d)), "spline", clouds=adapter.clouds(spark, d))
 
 
+@named
+def d20_interpolation_quality(spark, d):
+    """How far each cluster's series can be trusted when its cloudy gaps are filled."""
+    x = context.interpolation_quality(context.daily_series(m.clustered(spark, d)), clouds=adapter.clouds(spark, d))
+    return x.select("cluster_id", "n_original", "n_interpolated", scalar.rounded(C("quality"), 6).alias("quality"), F.array_join("warnings", " | ").alias("warnings"))
+
+
 @named
 def d22_d23_gap_reasons(spark, d):
     return context.gap_reasons(context.daily_series(m.clustered(spark, d)), adapter.clouds(spark, d))

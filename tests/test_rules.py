@@ -120,3 +120,19 @@ def test_notices_follow_a_stream_over_restarts(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
         notices.follow(spark.readStream.schema(schema).parquet(folder), store, str(tmp_path / "state")).awaitTermination()
     assert sorted(r.alert_id for r in spark.read.schema(schema).parquet(f"{store}/told").collect()) == ["b", "c"]
+
+
+def test_the_quality_of_a_filled_series(spark):
+    day = lambda k: dt.date(2024, 1, 1) + dt.timedelta(k)
+    series = [(1, day(0)), (1, day(2)), (1, day(3)), (2, day(0)), (3, day(0)), (3, day(4)), (3, day(5)), (4, day(0)), (4, day(2)), (4, day(4)), (5, day(0)), (5, day(1))]
+    df = spark.createDataFrame([(c, d, 1.0) for c, d in series], "cluster_id long, day date, value double")
+    got = {r.cluster_id: tuple(r)[1:] for r in context.interpolation_quality(df).collect()}
+    assert got[1] == (3, 1, 0.775, []) and got[2] == (1, 0, 1.0, [context.TOO_SHORT]) and got[5] == (2, 0, 1.0, [])
+    assert got[3] == (3, 3, 0.45, ["High interpolation ratio: 3/6 points interpolated", "Large gap between 2024-01-01 and 2024-01-05 (3 days)"])
+    assert got[4] == (3, 2, 0.7, ["High interpolation ratio: 2/5 points interpolated"])
+    clouds = spark.createDataFrame([(day(1), 80.0), (day(2), 100.0), (day(3), 60.0)], "acq_date date, cloud_cover double")
+    dark = {r.cluster_id: tuple(r)[1:3] + (round(r.quality, 6),) for r in context.interpolation_quality(df, clouds=clouds).collect()}
+    assert dark[1] == (3, 1, 0.775) and dark[4] == (3, 1, round(1 - 0.25 * 0.5 - 0.1, 3)) and dark[3] == (3, 0, 0.7)
+    grey = {r.cluster_id: round(r.quality, 6) for r in context.interpolation_quality(df, clouds=clouds, cloudy=50.0).collect()}
+    # the filled days of 4 have 80 and 60 per cent, so 70 on average, which is not over 70
+    assert grey[4] == round(0.7 * 0.9, 6)
