@@ -26,9 +26,11 @@ def satellite_label(file_name: Column) -> Column:
 def typed(raw: DataFrame) -> DataFrame:
     """Numbers, dates, padded times and lower-case confidence; what cannot be read becomes NULL."""
     require_columns(raw, REQUIRED)
-    numbers = {c: number(F.col(c)) for c in ("latitude", "longitude", "bright_ti4", "bright_ti5", "scan", "track", "frp") if c in raw.columns}
+    numbers = {c: number(F.col(c)).alias(c) for c in ("latitude", "longitude", "bright_ti4", "bright_ti5", "scan", "track", "frp") if c in raw.columns}
     made = {"acq_time": padded_time(F.col("acq_time")), "acq_date": F.expr("try_cast(acq_date as date)"), "confidence": F.lower(F.trim("confidence"))}
-    out = raw.withColumns(numbers | made)
+    # Numbers come out of a generator, so that a filter on them reads a text once and not once for each comparison.
+    once = raw.select(*[c for c in raw.columns if c not in numbers], F.inline(F.array(F.struct(*numbers.values())))) if numbers else raw
+    out = once.select(*raw.columns).withColumns(made)
     stamp = F.try_to_timestamp(F.concat_ws(" ", F.col("acq_date").cast("string"), "acq_time"), F.lit("yyyy-MM-dd HHmm"))
     return out.withColumn("acquisition_datetime", F.when(F.col("acq_date").isNotNull(), stamp))
 

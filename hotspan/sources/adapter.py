@@ -20,7 +20,9 @@ def place(site: str, lat_prime: int = 7919, lon_prime: int = 104729) -> tuple[st
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per observation: id, position, time, brightness temperatures, radiative power, confidence, satellite."""
     lat, lon = place("site")
-    e = read(spark, sf_dir, "events").selectExpr("event_id", "ts", "user_id", "event_type", "value", "cast(regexp_extract(props, '[0-9]+', 0) as bigint) as k")
+    # A generator is read once a row: the optimizer would else copy the pattern into every use of a position in a filter.
+    once = "inline(array(named_struct('k', cast(regexp_extract(props, '[0-9]+', 0) as bigint))))"
+    e = read(spark, sf_dir, "events").selectExpr("event_id", "ts", "user_id", "event_type", "value", once)
     e = e.withColumn("site", F.expr("case when k < 30 then user_id when k < 85 then 1000 + (event_id * 37) % 797 + 800 * (event_id div 2500) else 100000 + event_id end"))
     return e.selectExpr(
         "event_id as detection_id",
