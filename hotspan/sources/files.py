@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cleaning
+from .versions import Files
 
 RAW_FILES = "firms_*.csv"
 NAME = r"(firms_[^/]*\.csv)"
@@ -62,6 +63,28 @@ def write_once(rows: DataFrame, path: str) -> None:
     rows.write.mode("ignore").parquet(path)
 
 
+def fetch_range(source: DataFrame, wanted: DataFrame, folder: str) -> DataFrame:
+    """Save what `source` (product, acq_date, ...) has for each request of `wanted` (product, chunk_start, chunk_days); (product, chunk_start, chunk_days, record_count, outcome) of all.
+
+    A request's rows are one folder of Parquet files below `folder`. One that is there already is neither fetched nor
+    written again, whatever `source` has by now: `kept`, with its own count. The others are `saved`, or `empty` where
+    there is nothing, which leaves no folder and is asked for again the next time. Requests are told once each.
+    """
+    spark = source.sparkSession
+    files = Files(spark, folder)
+    there = [(p.partition("=")[2], c.partition("=")[2]) for p in sorted(files.sizes(folder)) if p.startswith("product=") for c in sorted(files.sizes(f"{folder}/{p}")) if c.startswith("chunk_start=")]
+    present = spark.createDataFrame(there, "product string, chunk_start string").select("product", F.col("chunk_start").cast("date"))  # as many as folders
+    asked = wanted.select("product", "chunk_start", "chunk_days").distinct()
+    new = asked.join(present, ["product", "chunk_start"], "left_anti")
+    days = new.withColumn("acq_date", F.explode(F.expr("sequence(chunk_start, date_add(chunk_start, chunk_days - 1))"))).drop("chunk_days")
+    source.join(days, ["product", "acq_date"]).write.mode("append").partitionBy("product", "chunk_start").parquet(folder)
+    # One level below the folders of partitions, as a table without any row has no schema to read.
+    saved = spark.read.schema("acq_date date, product string, chunk_start date").parquet(folder).groupBy("product", "chunk_start").agg(F.count("*").alias("record_count"))
+    told = asked.join(saved, ["product", "chunk_start"], "left").join(present.withColumn("old", F.lit(True)), ["product", "chunk_start"], "left")
+    outcome = F.when(F.col("old"), "kept").when(F.col("record_count") > 0, "saved").otherwise("empty")
+    return told.select("product", "chunk_start", "chunk_days", F.coalesce("record_count", F.lit(0)).cast("long").alias("record_count"), outcome.alias("outcome"))
+
+
 def read_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The rows of a log of JSON lines; no rows where it is missing, and none for lines that cannot be read."""
     try:

@@ -56,3 +56,17 @@ def test_reasons_follow_the_class(spark):
     assert got[3].why.endswith("(confidence: 0.00)") and got[3].change.startswith("Insufficient evidence")
     assert got[0].brief.endswith("• Near industrial facility: refinery\n\nRecommendation:\n• Priority monitoring recommended\n• Consider ground verification")
     assert got[3].brief == "=== CLUSTER 4 ASSESSMENT ===\n\nClassification: Unknown / Insufficient Evidence\nConfidence: 0%\n\nRisk Level: HIGH (Score: 90.00/100)\n\nKey Evidence:\n\nRecommendation:\n• Routine monitoring sufficient"
+
+
+def test_downloads_are_never_written_again(spark, tmp_path):
+    import datetime as dt
+
+    folder, day = str(tmp_path / "raw"), dt.date(2024, 1, 1)
+    rows = lambda *x: spark.createDataFrame([(p, day + dt.timedelta(k), v) for p, k, v in x], "product string, acq_date date, v int")
+    asked = lambda *x: spark.createDataFrame([(p, day + dt.timedelta(k), n) for p, k, n in x], "product string, chunk_start date, chunk_days int")
+    told = lambda df: sorted((r.product, (r.chunk_start - day).days, r.record_count, r.outcome) for r in df.collect())
+    first = files.fetch_range(rows(("a", 0, 1), ("a", 4, 2), ("a", 5, 3), ("b", 0, 4)), asked(("a", 0, 5), ("a", 0, 5), ("b", 5, 5)), folder)
+    assert told(first) == [("a", 0, 2, "saved"), ("b", 5, 0, "empty")]
+    again = files.fetch_range(rows(("a", 0, 9), ("a", 1, 9), ("a", 2, 9), ("b", 6, 5)), asked(("a", 0, 5), ("b", 5, 5), ("a", 5, 1)), folder)
+    assert told(again) == [("a", 0, 2, "kept"), ("a", 5, 0, "empty"), ("b", 5, 1, "saved")]
+    assert sorted(r.v for r in spark.read.parquet(folder).collect()) == [1, 2, 5]
