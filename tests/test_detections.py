@@ -56,6 +56,31 @@ def test_cleaning(spark):
     assert [r.chunk_days for r in cleaning.date_chunks(spark, "2024-01-01", "2024-01-30", 10).collect()] == [10, 10, 10]
 
 
+def test_clusters_are_those_of_all_pairs(spark):
+    """Against all pairs in plain Python: a place with many repeats, chains over cells and days, rows without a place or day."""
+    rng = np.random.default_rng(4)
+    rows = [det(i, 20.0 + int(rng.integers(0, 60)) * 0.003, 75.0 + int(rng.integers(0, 60)) * 0.003, int(rng.integers(0, 20))) for i in range(300)]
+    rows += [det(1000 + i, 20.05, 75.05, i % 2) for i in range(200)] + [det(1300, 64.0, -0.0, 3), det(1301, 64.0, 0.0, 5), det(1302, float("nan"), 75.0, 1), det(1303, float("nan"), 75.0, 1)]
+    rows += [(1304, None, 75.0, *det(0, 0, 0, 0)[3:]), (1305, None, 75.0, *det(0, 0, 0, 0)[3:]), (1306, 20.05, 75.05, None, *det(0, 0, 0, 0)[4:])]
+    got = {r.detection_id: r.cluster_id for r in spatial.clustered(spark.createDataFrame(rows, DET).repartition(5)).select("detection_id", "cluster_id").collect()}
+    known = [r for r in rows if r[1] is not None and r[3] is not None and not math.isnan(r[1])]
+    top = {r[0]: r[0] for r in rows}
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for i, a in enumerate(known):
+        for b in known[i + 1 :]:
+            x1, y1, x2, y2 = map(math.radians, (a[1], a[2], b[1], b[2]))
+            h = math.sin((x2 - x1) / 2) ** 2 + math.cos(x1) * math.cos(x2) * math.sin((y2 - y1) / 2) ** 2
+            if abs((a[3] - b[3]).days) <= 3 and 2 * 6371.0088 * math.asin(math.sqrt(h)) <= 1.0:
+                top[max(root(a[0]), root(b[0]))] = min(root(a[0]), root(b[0]))
+    assert got == {r[0]: root(r[0]) for r in rows}
+    assert len(set(got.values())) > 20 and got[1199] == got[1000] and got[1301] == 1300 and got[1303] == 1303 and got[1305] == 1305
+
+
 def test_clusters(spark):
     chain = [det(i, 20.0, 75.0 + 0.001 * i, i) for i in range(8)]
     apart = [det(20, 21.0, 75.0, 0), det(21, 21.0, 75.0, 9), det(22, 25.0, 75.0, 0)]
