@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import cos, pi, sin
+from math import pi
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,12 +72,12 @@ def compass(degrees: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, COMPASS)), (F.rint(degrees / 45.0).cast("int") % 8 + 1))
 
 
-def destination(lat: Column, lon: Column, degrees: Column, km: float) -> tuple[Column, Column]:
+def destination(lat: Column, lon: Column, degrees: Column, km: float | Column) -> tuple[Column, Column]:
     """The point `km` away along a bearing: (latitude, longitude)."""
-    d = km / EARTH_KM
+    d = (km if isinstance(km, Column) else F.lit(km)) / F.lit(EARTH_KM)
     phi, lam, t = F.radians(lat), F.radians(lon), F.radians(degrees)
-    phi2 = F.asin(F.sin(phi) * cos(d) + F.cos(phi) * sin(d) * F.cos(t))
-    lam2 = lam + F.atan2(F.sin(t) * sin(d) * F.cos(phi), F.lit(cos(d)) - F.sin(phi) * F.sin(phi2))
+    phi2 = F.asin(F.sin(phi) * F.cos(d) + F.cos(phi) * F.sin(d) * F.cos(t))
+    lam2 = lam + F.atan2(F.sin(t) * F.sin(d) * F.cos(phi), F.cos(d) - F.sin(phi) * F.sin(phi2))
     return phi2 * F.lit(180.0 / pi), F.pmod(lam2 * F.lit(180.0 / pi) + 540.0, F.lit(360.0)) - 180.0
 
 
