@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import csv
+import re
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +15,8 @@ from .versions import Files
 
 RAW_FILES = "firms_*.csv"
 NAME = r"(firms_[^/]*\.csv)"
+#: Bytes that hold a file's header, and how many files are looked into at once.
+HEAD, AT_ONCE = 65536, 16
 
 
 def file_name(path: Column | str) -> Column:
@@ -20,36 +24,47 @@ def file_name(path: Column | str) -> Column:
     return F.regexp_extract(path, NAME, 1)
 
 
+def header(files: Files, path: str) -> tuple[str, ...]:
+    """The column names in a file's first line that is not blank; none where the first HEAD bytes hold no whole line or names are blank or repeated."""
+    got = files.head(path, HEAD)
+    lines = got.decode("utf-8-sig", errors="replace").splitlines(keepends=True)
+    first = next((x for x in lines if x.strip()), "")
+    if not first.endswith(("\n", "\r")) and len(got) == HEAD:
+        return ()
+    names = tuple(c.strip() for c in next(csv.reader([first.strip("\r\n")]), []))
+    return names if all(names) and len({c.lower() for c in names}) == len(names) else ()
+
+
 def scan(spark: SparkSession, folder: str, required: tuple[str, ...] = cleaning.REQUIRED) -> tuple[DataFrame, list[str]]:
     """The rows of all raw files in `folder` as text columns, with source_file and source_satellite, and the names of files left out.
 
-    A file without a header line or without one of the `required` columns is left out; other columns may differ and are
-    NULL where a file has none. Files of one header are one scan. ValueError if no file can be read. The header is the
-    line that names the first required column, so nothing is taken from a file that is not such a text.
+    A file is left out whose header, its first line that is not blank, cannot be read or has not all `required` columns; other
+    columns may differ and are NULL where a file has none. Only the first bytes of a file are read for its header; files of
+    one header are one scan. ValueError if no file can be read.
     """
-    pattern = f"{folder}/{RAW_FILES}"
     try:
-        lines = spark.read.text(pattern)
+        listed = sorted(spark.read.text(f"{folder}/{RAW_FILES}").inputFiles())  # lists the files and reads none
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         raise ValueError(f"no raw file in {folder}") from e
-    named = lines.where(F.col("value").rlike(f'(^|,)"?{required[0]}"?(,|\\r?$)')).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = Files(spark, folder)
+    paths = [files.path(spark._jvm.java.net.URI(p)).toString() for p in listed]
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        headers = list(pool.map(lambda p: header(files, p), paths))
     heads: dict[tuple[str, ...], list[str]] = {}
-    for r in named.groupBy("path").agg(F.min("value").alias("head")).collect():  # one row a file, as the file listing has
-        columns = tuple(c.strip() for c in next(csv.reader([r.head])))
+    for path, columns in zip(paths, headers, strict=True):
         if not set(required) - set(columns):
-            heads.setdefault(columns, []).append(r.path)
+            heads.setdefault(columns, []).append(path)
     if not heads:
         raise ValueError(f"no raw file in {folder} has the columns {list(required)}")
     rows = None
-    for columns, paths in sorted(heads.items()):
-        part = spark.read.schema(", ".join(f"`{c}` string" for c in columns)).option("header", True).csv(sorted(paths))
+    for columns, some in sorted(heads.items()):
+        part = spark.read.schema(", ".join(f"`{c.replace('`', '``')}` string" for c in columns)).option("header", True).csv(some)
         part = part.withColumn("source_file", file_name(F.col("_metadata.file_path")))
         rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
-    every = spark.createDataFrame([(p,) for p in lines.inputFiles()], "path string").select(file_name("path").alias("name"))
-    read = spark.createDataFrame([(p,) for paths in heads.values() for p in paths], "path string").select(file_name("path").alias("name"))
-    skipped = sorted(r.name for r in every.subtract(read).collect())
+    name = lambda p: (re.findall(NAME, p) or [p])[0]
+    skipped = sorted({name(p) for p in paths} - {name(p) for some in heads.values() for p in some})
     return rows.withColumn("source_satellite", cleaning.satellite_label(F.col("source_file"))), skipped
 
 

@@ -47,6 +47,14 @@ class Files:
         finally:
             stream.close()
 
+    def head(self, name: str, most: int) -> bytes:
+        """The first bytes of a file, `most` at the most; no more is read."""
+        stream = self.fs.open(self.path(name))
+        try:
+            return bytes(stream.readNBytes(most))
+        finally:
+            stream.close()
+
     def write_new(self, name: str, text: str) -> None:
         """Puts a small file in one step where none stands; FileExistsError otherwise."""
         beside = f"{name}.{uuid.uuid4().hex}.tmp"

@@ -21,6 +21,24 @@ def test_scan_leaves_out_what_it_cannot_read(spark, tmp_path):
     assert skipped == ["firms_empty.csv", "firms_noise.csv", "firms_other.csv"]
 
 
+def test_header_is_the_first_line_and_is_read_alone(spark, tmp_path):
+    row = "1.5,2.5,2024-01-01,5,N,n\n"
+    (tmp_path / "firms_a b%20.csv").write_text(f"\n{HEAD}\n{row}{HEAD}\n")  # a header that comes again is a row
+    (tmp_path / "firms_bom.csv").write_bytes(b"\xef\xbb\xbf" + f"{HEAD}\r\n{row}".encode())
+    (tmp_path / "firms_late.csv").write_text(f"{row}{HEAD}\n{row}")
+    (tmp_path / "firms_twice.csv").write_text(f"{HEAD},Latitude\n{row}")
+    (tmp_path / "firms_unnamed.csv").write_text(f"{HEAD},\n{row}")
+    (tmp_path / "firms_only.csv").write_text(HEAD)
+    (tmp_path / "firms_endless.csv").write_text(f"{HEAD},{'x' * 70000}\n{row}")
+    (tmp_path / "firms_parts.csv").mkdir()
+    for part in (1, 2):
+        (tmp_path / "firms_parts.csv" / f"part-{part}.csv").write_text(f'"{HEAD.replace(",", chr(34) + "," + chr(34))}"\n{row}')
+    rows, skipped = files.scan(spark, str(tmp_path))
+    got = sorted((r.source_file, r.latitude) for r in rows.select("source_file", "latitude").collect())
+    assert [lat for _, lat in got if lat == "1.5"] == ["1.5"] * 4 and len(got) == 5 and ("firms_parts.csv", "1.5") in got and ("firms_bom.csv", "1.5") in got
+    assert skipped == ["firms_endless.csv", "firms_late.csv", "firms_twice.csv", "firms_unnamed.csv"]
+
+
 def test_scan_of_nothing_readable_is_an_error(spark, tmp_path):
     with pytest.raises(ValueError):
         files.scan(spark, str(tmp_path))
