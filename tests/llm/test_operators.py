@@ -495,6 +495,18 @@ def test_recall_of_similar_lines_by_length(stored, share, least):
     assert sum(found.values()) / len(found) >= 0.9, found
 
 
+def test_no_long_line_at_the_limit_is_left_out(stored):
+    """Pairs of long lines that are exactly as many edits apart as may be, spread evenly: all are found by their blocks."""
+    rnd, fresh, docs = random.Random(18), iter(range(10**9)), []
+    for n in (15, 20, 25, 40, 60, 100):
+        for _ in range(20):
+            a = [f"w{rnd.randrange(50_000)}" for _ in range(n)]
+            b = [f"new{next(fresh)}" if i % 5 == 4 else w for i, w in enumerate(a)]
+            docs.append((len(docs), " ".join(a) + "\n" + " ".join(b), ""))
+    left = [r.doc_id for r in linededup.dedup_lines(stored(docs, DOC), distance=64).where("n_removed <> 1").collect()]
+    assert left == []
+
+
 def test_a_large_group_of_near_copies_is_one(stored):
     rnd = random.Random(17)
     base = [f"w{i}" for i in range(40)]
