@@ -126,6 +126,26 @@ def test_repeats_match_brute_force(stored, monkeypatch, hot):
     assert [(a, b, c, bytes(d)) for a, b, c, d in (got[i] for i in range(len(texts)))] == plain_repeats(texts, 400)
 
 
+def test_near_copies_of_a_hot_gram_take_a_few_rows_each(stored, monkeypatch):
+    monkeypatch.setattr(suffixes, "HOT", 1)
+    rnd, made, plain = random.Random(6), [], suffixes.checkpoint
+
+    def noted(df):
+        out = plain(df)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(suffixes, "checkpoint", noted)
+    core = "".join(rnd.choice("abcdefgh") for _ in range(1500))
+    edits = [rnd.randrange(1500) for _ in range(60)]
+    texts = [core[:e] + chr(0x41 + i) + core[e + 1 :] for i, e in enumerate(edits)]
+    texts += ["".join(rnd.choice("ijklmn") for _ in range(300)) + core[700:900] + "".join(rnd.choice("ijklmn") for _ in range(300)) for _ in range(60)]
+    got = {r[0]: r[1:] for r in rows_of(suffixes.remove_repeats(stored([(i, t, "") for i, t in enumerate(texts)], DOC)))}
+    assert [(a, b, c, bytes(d)) for a, b, c, d in (got[i] for i in range(len(texts)))] == plain_repeats(texts, 400)
+    # anchors, variants and stretches; the windows of all variants are over 40,000
+    assert max(made) < 10_000
+
+
 def test_loser_tree_merges_and_knows_common_prefixes():
     rnd = random.Random(3)
     rows = [(bytes(rnd.choice(b"ab") for _ in range(rnd.randrange(12))), b"", i) for i in range(300)]
