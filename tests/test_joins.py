@@ -35,3 +35,11 @@ def test_clusters_broadcast_nothing(spark, monkeypatch):
     assert {tuple(r) for r in out.select("detection_id", "cluster_id").collect()} == {(i, 0) for i in range(8)} | {(8, 8), (9, 9)}
     plans.append(out._jdf.queryExecution().executedPlan().toString())
     assert not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_nearest_places_broadcast_nothing(spark):
+    points = spark.createDataFrame([(i, 10.0 + i * 0.005, 75.0) for i in range(8)], "cluster_id long, latitude double, longitude double")
+    places = spark.createDataFrame([(1, 10.001, 75.0), (2, 10.031, 75.0)], "facility_id long, facility_lat double, facility_lon double")
+    out = spatial.nearest(points, places, "cluster_id", "facility", 1.0)
+    assert {(r.cluster_id, r.facility_id) for r in out.collect()} == {(0, 1), (1, 1), (2, None), (3, None), (4, None), (5, 2), (6, 2), (7, 2)}
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
