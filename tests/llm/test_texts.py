@@ -241,3 +241,11 @@ def test_pages_as_a_table(spark, stored):
 def test_wrong_pages_take_time_in_proportion(spark):
     for wrong in ("<b>" * 30000 + "</i>" * 30000, "<!--" * 30000, "<a x=\"" * 30000, "</script" * 30000, "<ul><li>x" * 20000, "<p>" * 30000):
         html.main_text(wrong)
+
+
+def test_anchors_without_a_target_are_no_links():
+    menu = "<div><ul><li><a href='/1'>Home page of all</a><li><a href='/2'>News of the day</a><li><a href='/3'>Other things</a></ul></div>"
+    told = [f"Paragraph {i} tells a long story, with rivers, hills, and many trees, as it goes on." for i in range(4)]
+    marked = "".join(f"<p><a name=s{i} data-href='x'>{t}</a></p>" for i, t in enumerate(told))
+    assert html.main_text(page(f"{menu}<div>{marked}</div>")) == "\n".join(told)
+    assert html.main_text(page(f"<div>{menu}<p>{told[0]}</p><p>{told[1]}</p></div>")) == "\n".join(told[:2])
