@@ -147,7 +147,7 @@ def interpolated(series: DataFrame, method: str = "linear", most: int = 3, cloud
     if clouds is not None:
         c = out.join(clouds.select(C("acq_date").alias("at"), "cloud_cover"), "at", "left")
         dark = c.groupBy("cluster_id", "start").agg(F.bool_and(F.coalesce(C("cloud_cover") > cloudy, F.lit(False))).alias("dark")).where("dark").select("cluster_id", "start")
-        out = out.join(dark, ["cluster_id", "start"], "left_semi")
+        out = out.join(dark.hint("merge"), ["cluster_id", "start"], "left_semi")
     return out.select("cluster_id", C("at").alias("day"), C("filled").alias("value"))
 
 
@@ -169,7 +169,7 @@ def interpolation_quality(series: DataFrame, most: int = 3, clouds: DataFrame |
         filled = filled.join(clouds.select(C("acq_date").alias("day"), "cloud_cover"), "day", "left").withColumn("cloud_cover", F.coalesce("cloud_cover", F.lit(50.0)))
     cover = F.avg("cloud_cover") if clouds is not None else F.lit(100.0)
     by = filled.groupBy("cluster_id").agg(F.count("*").alias("n_interpolated"), cover.alias("cover"))
-    x = series.groupBy("cluster_id").agg(F.count("*").alias("n_original")).join(longest, "cluster_id", "left").join(by, "cluster_id", "left").fillna(0, ["n_interpolated", "longest"])
+    x = series.groupBy("cluster_id").agg(F.count("*").alias("n_original")).join(longest.hint("merge"), "cluster_id", "left").join(by.hint("merge"), "cluster_id", "left").fillna(0, ["n_interpolated", "longest"])
     total = C("n_original") + C("n_interpolated")
     share = C("n_interpolated") / total
     plain = F.greatest(F.lit(0.0), 1.0 - share * 0.5 - F.least(F.lit(0.3), C("longest") * 0.1))

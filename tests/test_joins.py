@@ -1,8 +1,8 @@
 """No table that grows with the input is broadcast while clusters are made: such joins ran out of the driver's memory."""
 
-from datetime import date
+from datetime import date, datetime
 
-from hotspan.operators import graph, spatial
+from hotspan.operators import context, features, graph, spatial
 
 
 def recorded(monkeypatch, *modules):
@@ -43,3 +43,17 @@ def test_nearest_places_broadcast_nothing(spark):
     out = spatial.nearest(points, places, "cluster_id", "facility", 1.0)
     assert {(r.cluster_id, r.facility_id) for r in out.collect()} == {(0, 1), (1, 1), (2, None), (3, None), (4, None), (5, 2), (6, 2), (7, 2)}
     assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_movement_and_cloudy_gaps_broadcast_no_clusters(spark):
+    at = lambda day: datetime(2024, 1, day)
+    seen = spark.createDataFrame([(c, at(day), 10.0, 75.0 + 0.02 * day) for c in (1, 2) for day in (1, 3, 5)], "cluster_id long, acquisition_datetime timestamp, latitude double, longitude double")
+    moved = features.movement(seen)
+    assert {(r.cluster_id, r.observation_count, r.movement_status) for r in moved.collect()} == {(1, 3, "MOVING"), (2, 3, "MOVING")}
+    series = spark.createDataFrame([(c, date(2024, 1, day), float(day)) for c in (1, 2) for day in (1, 3, 5)], "cluster_id long, day date, value double")
+    clouds = spark.createDataFrame([(date(2024, 1, 2), 90.0), (date(2024, 1, 4), 10.0)], "acq_date date, cloud_cover double")
+    filled, quality = context.interpolated(series, clouds=clouds), context.interpolation_quality(series, clouds=clouds)
+    assert {tuple(r) for r in filled.collect()} == {(c, date(2024, 1, 2), 2.0) for c in (1, 2)}
+    assert {(r.cluster_id, r.n_original, r.n_interpolated) for r in quality.collect()} == {(1, 3, 1), (2, 3, 1)}
+    for df in (moved, filled, quality):  # the days of the clouds are few and may be broadcast
+        assert not [line for line in df._jdf.queryExecution().executedPlan().toString().split("\n") if "BroadcastHashJoin" in line and "cluster_id" in line]
