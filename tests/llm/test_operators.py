@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -126,6 +128,21 @@ def test_repeats_match_brute_force(stored, monkeypatch, hot):
     assert [(a, b, c, bytes(d)) for a, b, c, d in (got[i] for i in range(len(texts)))] == plain_repeats(texts, 400)
 
 
+def test_repeats_take_little_disk(spark, stored):
+    """Shuffles and stored steps together: 0.74 of the texts, 0.84 where these are shuffled as they are."""
+    rnd = random.Random(8)
+    words = ["".join(rnd.choice("abcdefghijkl") for _ in range(rnd.randrange(3, 9))) for _ in range(400)]
+    texts = [" ".join(rnd.choice(words) for _ in range(1000)) for _ in range(600)]
+    texts += [t[:2000] + str(i) + t[2000:] for i, t in enumerate(texts[:100])]
+    docs = stored([(i, t, "") for i, t in enumerate(texts)], DOC)
+    local = [Path(d) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    files = lambda: {f: f.stat().st_size for d in (*local, Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))) for f in d.rglob("*") if re.match("shuffle_.*data|part-", f.name)}
+    before = files()
+    got = {r[0]: r[2] for r in rows_of(suffixes.remove_repeats(docs))}
+    assert [got[i] for i in (0, 599)] == [len(texts[0]), 0]
+    assert sum(n for f, n in files().items() if f not in before) < 0.78 * sum(map(len, texts))
+
+
 def test_near_copies_of_a_hot_gram_take_a_few_rows_each(stored, monkeypatch):
     monkeypatch.setattr(suffixes, "HOT", 1)
     rnd, made, plain = random.Random(6), [], suffixes.checkpoint
