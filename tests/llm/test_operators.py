@@ -143,6 +143,27 @@ def test_repeats_take_little_disk(spark, stored):
     assert sum(n for f, n in files().items() if f not in before) < 0.78 * sum(map(len, texts))
 
 
+def test_variants_are_dealt_evenly_to_merging_tasks(stored, monkeypatch):
+    monkeypatch.setattr(suffixes, "PER_TASK", 50)
+    rnd, made, plain = random.Random(9), [], suffixes.stored
+
+    def noted(df):
+        out = plain(df)
+        made.append(out)
+        return out
+
+    monkeypatch.setattr(suffixes, "stored", noted)
+    word = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    texts = [word(600) + core + word(600) for core in [word(450) for _ in range(100)] for _ in range(2)]
+    got = {r[0]: r[2] for r in rows_of(suffixes.remove_repeats(stored([(i, t, "") for i, t in enumerate(texts)], DOC)))}
+    assert all(450 <= got[i] < 480 for i in range(len(texts)))
+    runs = next(df for df in made if "task" in df.columns)
+    dealt = Counter()
+    for r in runs.collect():
+        dealt[r.task] += sum(1 for _ in suffixes.decode(r.block))
+    assert len(dealt) > 3 and max(dealt.values()) < 0.5 * sum(dealt.values())
+
+
 def test_near_copies_of_a_hot_gram_take_a_few_rows_each(stored, monkeypatch):
     monkeypatch.setattr(suffixes, "HOT", 1)
     rnd, made, plain = random.Random(6), [], suffixes.checkpoint
