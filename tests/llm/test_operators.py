@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from hotspan.llm import ann, decontaminate, langid, linededup, packing, quality, simhash, suffixes, toxicity, url_filter
 from hotspan.llm.common import components
@@ -164,6 +165,23 @@ def test_variants_are_dealt_evenly_to_merging_tasks(stored, monkeypatch):
     assert len(dealt) > 3 and max(dealt.values()) < 0.5 * sum(dealt.values())
 
 
+def test_anchors_of_one_gram_are_dealt_to_several_tasks(spark, tmp_path):
+    n, path, own = 60_000, str(tmp_path / "anchors"), "spark.sql.adaptive."
+    gram = F.when(F.col("id") % 2 == 0, F.lit(-1)).otherwise(F.floor(F.col("id") / 4))
+    spark.range(0, n, 1, 12).select(F.col("id").alias("rid"), gram.alias("h"), F.col("id").alias("t")).write.parquet(path)
+    conf = {own + "advisoryPartitionSizeInBytes": "16k", own + "coalescePartitions.enabled": "false", own + "skewJoin.skewedPartitionThresholdInBytes": "16k", own + "skewJoin.skewedPartitionFactor": "1.5"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        made = suffixes.recurring(spark.read.parquet(path)).select("h", "alike", F.spark_partition_id().alias("task")).collect()
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    assert Counter(r.h for r in made)[-1] == n // 2
+    assert not any(r.alike for r in made)
+    assert max(Counter(r.task for r in made if r.h == -1).values()) <= n // 4
+
+
 def test_near_copies_of_a_hot_gram_take_a_few_rows_each(stored, monkeypatch):
     monkeypatch.setattr(suffixes, "HOT", 1)
     rnd, made, plain = random.Random(6), [], suffixes.checkpoint
