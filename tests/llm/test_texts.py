@@ -249,3 +249,31 @@ def test_anchors_without_a_target_are_no_links():
     marked = "".join(f"<p><a name=s{i} data-href='x'>{t}</a></p>" for i, t in enumerate(told))
     assert html.main_text(page(f"{menu}<div>{marked}</div>")) == "\n".join(told)
     assert html.main_text(page(f"<div>{menu}<p>{told[0]}</p><p>{told[1]}</p></div>")) == "\n".join(told[:2])
+
+
+LONG = " ".join([PROSE] * 6)
+
+
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        ("<ul><li>one<li>two</ul><p>three</p>", "one\ntwo\nthree"),
+        (f"<div><div><div><p>{LONG}</p></div></div></div><div><div><div>Few words.</div></div></div>", f"{LONG}\nFew words."),
+        (f"<article><p>{PROSE}</p></article><blockquote>{PROSE}</blockquote><div>{LONG}</div><div>Site name</div>", f"{PROSE}\n{PROSE}\n{LONG}"),
+        (f"<article><h2 id='social-impact'>Social impact</h2><p>Let <math><mi>x</mi></math> be.</p></article>", "Social impact\nLet x be."),
+        (f"<div class='container right-sidebar'><h1>Title</h1><p>{PROSE}</p></div>", f"Title\n{PROSE}"),
+        (f"<article><p>{PROSE}</p><table>{'<tr><td><a href=/1>Smith</a><td>4' * 3}</table></article>", "\n".join([PROSE] + ["Smith 4"] * 3)),
+        (f"<nav>menu{'<b>' * 600}</nav><article><p>{PROSE}</p></article>", PROSE),
+        (f"<main><p>{PROSE}</p></main><section id=comments><h1>Replies</h1><article><p>{LONG}</p></article></section><div class=ad><p>{LONG}</p></div>", PROSE),
+    ],
+)
+def test_nothing_else_is_dropped(body, want):
+    assert html.main_text(page(body)) == want
+
+
+def test_points_are_given():
+    root = html.tree(page(f"<div><p>{LONG}</p></div><div><p>{PROSE}</p></div>"))
+    elements = html.pruned(root)
+    html.score(elements)
+    assert [round(e.points) for e in elements if e.name == "div"] == [16, 4]
+    assert html.main_text(page(f"<article><p>{PROSE}</p></article><div>{LONG}</div><div>{PROSE}</div>")) == f"{PROSE}\n{LONG}"
