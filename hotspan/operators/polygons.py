@@ -7,11 +7,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.geojson import edges_of, polygons
+from .graph import checkpoint
 
 #: Height in degrees of the slabs that polygons are cut into.
 SLAB = 0.25
 #: Size in degrees of the smallest cells of footprints; each level doubles it.
 CELL, LEVELS = 0.5, 10
+#: Bytes up to which scenes by their cells and days are broadcast; more are joined by a shuffle.
+BROADCAST = 8 << 20
+BOUNDS = ("west", "east", "south", "north")
 #: The search's window and limit, and what it says.
 WINDOW_DAYS, CLOUD_LIMIT = 5, 30.0
 NONE_FOUND = "No matching Sentinel-2 observation found in temporal window"
@@ -86,28 +90,34 @@ def scenes(features: DataFrame) -> DataFrame:
 
 
 def covering(points: DataFrame, found: DataFrame, days: int = WINDOW_DAYS) -> DataFrame:
-    """`points` (cluster_id, latitude, longitude, day) with each scene whose footprint holds them within `days` of theirs.
+    """`points` (latitude, longitude, day) with what is told of each row of `found` (edges, bounds, scene_date) whose footprint holds them within `days` of theirs.
 
     A scene is dealt to the level of cells as large as its footprint, where it touches four at most, and to its stretch
-    of days; a point looks into one cell of each level that has scenes and three stretches. So neither a large
-    footprint nor a long series of one place makes a row that everything meets.
+    of days and the two beside it; a point looks into one cell of each level that has scenes, in its own stretch. So
+    neither a large footprint nor a long series of one place makes a row that everything meets.
     """
     extent = F.greatest(F.col("east") - F.col("west"), F.col("north") - F.col("south"))
     level = F.least(F.greatest(F.ceil(F.log2(F.greatest(extent, F.lit(1e-9)) / CELL)), F.lit(0)), F.lit(LEVELS)).cast("int")
-    leveled = found.withColumn("level", level)
-    some = sorted(r.level for r in leveled.select("level").distinct().collect())  # at most LEVELS + 1 rows
     size = lambda k: F.pow(F.lit(2.0), k) * CELL
     at = lambda x, k: F.floor(x / size(k)).cast("long")
     step = F.lit(days + 1)
-    s = leveled.withColumn("cy", F.explode(F.sequence(at(F.col("south"), F.col("level")), at(F.col("north"), F.col("level")))))
-    s = s.withColumn("cx", F.explode(F.sequence(at(F.col("west"), F.col("level")), at(F.col("east"), F.col("level"))))).withColumn("ct", F.floor(F.unix_date("scene_date") / step))
-    p = points.withColumn("level", F.explode(F.array(*[F.lit(k) for k in some]).cast("array<int>")))
-    p = p.withColumn("cy", at(F.col("latitude"), F.col("level"))).withColumn("cx", at(F.col("longitude"), F.col("level")))
-    p = p.withColumn("ct", F.explode(F.array(*[F.floor(F.unix_date("day") / step) + k for k in (-1, 0, 1)])))
+    s = found.withColumn("level", level).withColumn("cy", F.explode(F.sequence(at(F.col("south"), F.col("level")), at(F.col("north"), F.col("level")))))
+    s = s.withColumn("cx", F.explode(F.sequence(at(F.col("west"), F.col("level")), at(F.col("east"), F.col("level")))))
+    s = checkpoint(s.withColumn("ct", F.explode(F.array(*[F.floor(F.unix_date("scene_date") / step) + k for k in (-1, 0, 1)]))))
+    some = s.groupBy("level").agg(F.sum(F.size("edges") * 32 + 256).alias("bytes")).collect()  # at most LEVELS + 1 rows
+    p = points.withColumn("level", F.explode(F.array(*[F.lit(k) for k in sorted(r.level for r in some)]).cast("array<int>")))
+    p = p.withColumn("cy", at(F.col("latitude"), F.col("level"))).withColumn("cx", at(F.col("longitude"), F.col("level"))).withColumn("ct", F.floor(F.unix_date("day") / step))
     near = F.abs(F.date_diff("scene_date", "day")) <= days
     boxed = F.col("latitude").between(F.col("south"), F.col("north")) & F.col("longitude").between(F.col("west"), F.col("east"))
+    s = F.broadcast(s) if sum(r.bytes for r in some) <= BROADCAST else s.hint("merge")
     met = p.join(s, ["level", "cx", "cy", "ct"]).where(near & boxed & odd(F.col("edges"), F.col("latitude"), F.col("longitude")))
-    return met.select(*points.columns, "scene_id", "scene_date", "scene_time", "cloud")
+    return met.select(*points.columns, *[c for c in found.columns if c not in ("edges", *BOUNDS)])
+
+
+def folded(found: DataFrame) -> DataFrame:
+    """Scenes of one footprint and day as one row, with the clearest (ties: smallest id) as `best` and their number `n`: a point is covered by all of them or none."""
+    best = F.min(F.struct("cloud", "scene_id", "scene_time")).alias("best")
+    return found.groupBy("edges", "scene_date").agg(*[F.first(c).alias(c) for c in BOUNDS], best, F.count("*").alias("n"))
 
 
 def matched(points: DataFrame, found: DataFrame, days: int = WINDOW_DAYS, limit: float = CLOUD_LIMIT) -> DataFrame:
@@ -116,7 +126,7 @@ def matched(points: DataFrame, found: DataFrame, days: int = WINDOW_DAYS, limit:
     A scene counts as seen with at most `limit` per cent of clouds; without any the clearest is told as obscured, and
     without a scene the cover is 100 per cent and the id `none`.
     """
-    best = covering(points, found, days).groupBy("cluster_id").agg(F.min(F.struct("cloud", "scene_id", "scene_time")).alias("b"), F.count("*").alias("n_scenes"))
+    best = covering(points, folded(found), days).groupBy("cluster_id").agg(F.min("best").alias("b"), F.sum("n").alias("n_scenes"))
     x = points.select("cluster_id").join(best, "cluster_id", "left")
     text = F.format_string(OBSCURED.replace("%", "%%").format("%.1f", "%.1f"), F.col("b.cloud"), F.lit(float(limit)))
     status = F.when(F.col("b").isNull(), NONE_FOUND).when(F.col("b.cloud") > limit, text).otherwise(FOUND)

@@ -109,3 +109,17 @@ def test_scenes_of_every_size_are_found_within_the_window(spark, tmp_path):
         assert (r.image_date is None) == (cloud > 30)
         told.add(cloud <= 30)
     assert told == {True, False}
+
+
+def test_scenes_of_one_footprint_and_day_meet_a_point_once(spark, tmp_path, monkeypatch):
+    start, met = dt.date(2024, 1, 1), []
+    items = [item(f"s{k:03}", f"{start + dt.timedelta(k % 3)}T05:00:00Z", float(40 - k % 40), 70, 10, 2.0) for k in range(240)]
+    found = polygons.scenes(geojson.features(spark, put(tmp_path, *items, item("later", "2024-02-01", 1.0, 70, 10, 2.0))))
+    covering = polygons.covering
+    monkeypatch.setattr(polygons, "covering", lambda *a: met.append(covering(*a)) or met[-1])
+    for most in (8 << 20, 0):  # broadcast and not
+        monkeypatch.setattr(polygons, "BROADCAST", most, raising=False)
+        points = spark.createDataFrame([(k, 11.0, 70.5 + k / 4, start) for k in range(8)], "cluster_id long, latitude double, longitude double, day date")
+        got = {r.cluster_id: (r.satellite_item_id, r.cloud_cover, r.n_scenes, r.image_date) for r in polygons.matched(points, found).collect()}
+        assert got == {k: ("s039", 1.0, 240, f"{start}T05:00:00Z") if k < 6 else ("none", 100.0, 0, None) for k in range(8)}
+        assert met[-1].count() == 6 * 3
