@@ -599,6 +599,20 @@ def test_lines_take_little_disk(spark, stored):
     assert share < 0.3, share
 
 
+def test_steps_of_lines_are_cleared(spark, stored):
+    """What is left on disk once a table of lines without near copies has been read: its shuffles and stored steps go."""
+    rnd = random.Random(20)
+    texts = ["\n".join(" ".join(f"w{rnd.randrange(9000)}" for _ in range(40)) for _ in range(10)) for _ in range(500)]
+    docs = stored([(i, t + "\n" + texts[i // 2], "") for i, t in enumerate(texts)], DOC)
+    local = [Path(d) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    files = lambda: {f: f.stat().st_size for d in (*local, Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))) for f in d.rglob("*") if re.match("shuffle_.*data|part-", f.name)}
+    before = files()
+    made = linededup.dedup_lines(docs)
+    share = sum(n for f, n in files().items() if f not in before) / sum(map(len, texts))
+    assert share < 0.2, share
+    assert made.selectExpr("sum(n_removed)").first()[0] == 5000
+
+
 def test_a_large_group_of_near_copies_is_one(stored):
     rnd = random.Random(17)
     base = [f"w{i}" for i in range(40)]
